@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontam, langid, linededup, mixing, simhash
+from quillspark.llm import chat, decontam, langid, licenses, linededup, mixing, quality, simhash, urlrank
 
-MODULES = (decontam, simhash, langid, linededup, mixing)
+MODULES = (decontam, simhash, langid, licenses, quality, linededup, mixing, urlrank, chat)
 
 
 def queries() -> dict:
