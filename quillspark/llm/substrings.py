@@ -3,7 +3,7 @@
 Texts are UTF-8 bytes (null: empty); matches never cross documents; strings are judged on the input. Rows that share
 an id are one document, whose rows do not remove each other; a row without id comes after all others.
 
-Each 50-byte window has one anchor, the leftmost least-hashed 20-byte string in it, so equal windows have equal
+Each 50-byte window has one anchor, the leftmost least-hashed 28-byte string in it, so equal windows have equal
 anchors. Neighbouring windows with one anchor make a fragment. Anchors are grouped over the cluster. A fragment that an
 earlier document has whole is settled by its hash; only where an anchor has several different fragments (the edges of
 repeats, and chance repeats of an anchor) are the fragments themselves compared, bucket by bucket: their
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, mix64, table, utf8_buffers
 
-LENGTH, ANCHOR = 50, 20
+LENGTH, ANCHOR = 50, 28
 #: Window starts looked at together, and bytes of fragments compared together.
 CHUNK, BUCKET = 2 << 20, 2 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -50,7 +50,9 @@ def _fragments(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarra
         h4 = h2[:-2] * _power(2) + h2[2:]
         h8 = h4[:-4] * _power(4) + h4[4:]
         h16 = h8[:-8] * _power(8) + h8[8:]
-        anchors = mix64(h16[: n + LENGTH - ANCHOR] * _power(4) + h4[16 : n + LENGTH - ANCHOR + 16])
+        spots = n + LENGTH - ANCHOR
+        h12 = h8[16 : spots + 16] * _power(4) + h4[24 : spots + 24]
+        anchors = mix64(h16[:spots] * _power(12) + h12)
         least = (anchors & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(anchors), dtype=np.uint64)
         span, width = LENGTH - ANCHOR + 1, 1
         while 2 * width <= span:
