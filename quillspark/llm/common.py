@@ -42,6 +42,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow (id or hash) table up to which it may be broadcast; beyond that both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """narrow (materialised, a few longs a row) with a broadcast hint if its counted size allows, else as it is."""
+    return F.broadcast(narrow) if narrow.count() <= rows else narrow
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else left alone."""
     return F.translate(text, UPPER, LOWER)

@@ -1,6 +1,6 @@
 """Fuzzy line deduplication: MinHash over character shingles, verified by exact Jaccard similarity.
 
-A line is compared by its trimmed, lower-cased form. Lines of fewer than `min_chars` characters (blank lines
+A line is compared by its form, which is the line without blanks at its ends. Lines of fewer than `min_chars` characters (blank lines
 included) are layout, not content, and always stay. Lines of at least `threshold` Jaccard similarity over their
 character shingles are linked; of every connected component the line with the smallest (document id, line number)
 stays. Null texts have no lines. Rows that share an id count as one document, so exact repeats of a row keep the
@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, mix64, slices, table, utf8_buffers
+from quillspark.llm.common import broadcast_if_small, materialize, mix64, slices, table, utf8_buffers
 from quillspark.llm.components import connected_components
 
-SHINGLE, THRESHOLD, BANDS, ROWS, MIN_CHARS = 8, 0.8, 8, 3, 10
+SHINGLE, THRESHOLD, BANDS, ROWS, MIN_CHARS = 8, 0.8, 7, 3, 10
+#: Most rows, and about most characters, of a bucket's block; two blocks are compared in one task.
+BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 19
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -29,10 +31,16 @@ def _odd(n: int, seed: int) -> np.ndarray:
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """id, line_no (from 0), line, form, h of every line that is long enough to compare."""
     each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
-    each = each.withColumn("form", F.lower(F.trim("line"))).where(F.length("form") >= min_chars)
+    each = each.withColumn("form", F.trim("line")).where(F.length("form") >= min_chars)
     return each.withColumn("h", F.xxhash64("form"))
 
 
+def _points(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of rows of UTF-8 bytes, and where rows begin and end among them."""
+    at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[bounds]
+    return np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64), at
+
+
 def shingle_hashes(points: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-grams of code points that lie within a row, and how many each row has."""
     counts = np.maximum(np.diff(bounds) - k + 1, 0)
@@ -73,10 +81,7 @@ def _signed(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             found = np.zeros((batch.num_rows, bands), np.uint64)
             full = np.zeros(batch.num_rows, bool)
             for a, b in slices(bounds, 1 << 20):
-                raw = data[bounds[a] : bounds[b]]
-                at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[bounds[a : b + 1] - bounds[a]]
-                points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-                hashes, counts = shingle_hashes(points, at, k)
+                hashes, counts = shingle_hashes(*_points(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]), k)
                 has = np.flatnonzero(counts)
                 if len(has):
                     found[a + has] = band_keys(hashes, counts[has], bands, rows)
@@ -98,52 +103,136 @@ def jaccard(a: str, b: str, k: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def similarities(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of a[i] and b[i]; shingles are told apart by 54 bits of their hash.
+
+    All sets of up to 1024 pairs are sorted together, each element under its pair's number.
+    """
+    sides = []
+    for column in (a, b):
+        bounds, data = utf8_buffers(column)
+        hashes, counts = shingle_hashes(*_points(data, bounds), k)
+        pair = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+        ordered = np.sort(pair << np.uint64(54) | hashes >> np.uint64(10))
+        sides.append(ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered)
+    sizes = [np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=len(a)) for x in sides]
+    merged = np.sort(np.concatenate(sides))
+    both = np.bincount((merged[1:][merged[1:] == merged[:-1]] >> np.uint64(54)).astype(np.int64), minlength=len(a))
+    return both / np.maximum(sizes[0] + sizes[1] - both, 1)
+
+
 def _verified(pairs: DataFrame, forms: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Of pairs(a, b), those whose forms are similar enough."""
+    """Of pairs(a, b), those whose forms are similar enough. Forms hold a shingle at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = pa.array([jaccard(x, y, k) >= threshold for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keep = pa.array(similarities(part.column(2), part.column(3), k) >= threshold)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(keep)
 
     left, right = forms.select(F.col("h").alias("a"), F.col("form").alias("fa")), forms.select(F.col("h").alias("b"), F.col("form").alias("fb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
+def _unlike(rows: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) between members of a bucket block whose components differ; enough to connect them, not all pairs.
+
+    rows: key, lo, hi, block, h, c, form. Rows of one key, lo and hi meet in one task as a run of a sorted stream. A
+    pair is compared only while its components are not yet connected within the run. Shingles are told apart by their
+    64-bit hash.
+    """
+
+    def links(group: list[tuple], lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        parent: dict[int, int] = {}
+        sets: dict[int, set[int]] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        def shingles(i: int) -> set[int]:
+            if i not in sets:
+                sets[i] = set(group[i][3].tolist())
+            return sets[i]
+
+        for i, (block, h, c, _) in enumerate(group):
+            root = find(c)
+            for j in range(i):
+                if lo != hi and group[j][0] == block:
+                    continue
+                other = find(group[j][2])
+                if other != root:
+                    x, y = shingles(i), shingles(j)
+                    least = min(len(x), len(y))
+                    if least >= threshold * max(len(x), len(y)):
+                        both = len(x & y)
+                        if both >= threshold * (len(x) + len(y) - both):
+                            parent[other] = root
+                            yield h, group[j][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, group = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            bounds, data = utf8_buffers(batch.column(6))
+            hashes, counts = shingle_hashes(*_points(data, bounds), k)
+            forms = np.split(hashes, np.cumsum(counts)[:-1])
+            for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns[:6]), forms, strict=True):
+                if (key, lo, hi) != head:
+                    if len(group) > 1:
+                        out += links(group, head[1], head[2])
+                    head, group = (key, lo, hi), []
+                group.append(tuple(row))
+            yield _pairs(out)
+        if len(group) > 1:
+            yield _pairs(list(links(group, head[1], head[2])))
+
+    dealt = rows.select("key", "lo", "hi", "block", "h", "c", "form").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "h")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def line_groups(lines: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """h, keep_id, keep_line for every form that occurs twice or has a near-duplicate.
+    """h, keep_id, keep_line for every form that occurs twice or has a near-duplicate (materialised).
 
-    Bucket members are first compared with the bucket's smallest hash; then those whose components still differ are
-    compared with each other. So a bucket of n copies costs about n comparisons, and no link is left out.
+    Bucket members are first compared with the bucket's smallest hash, which settles most copies at one comparison
+    each. Buckets whose members are still in different components are then looked into: large ones in pairs of blocks
+    of bounded rows and bytes, each pair of blocks in a task of its own. No link between components is left out.
     """
     unique = materialize(_signed(lines, k, bands, rows).groupBy("h").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")))
     bucket = Window.partitionBy("key")
     index = unique.select("h", F.explode("keys").alias("key"))
     crowded = materialize(index.select("key", "h", F.min("h").over(bucket).alias("hub"), F.max("h").over(bucket).alias("last")).where("hub <> last").drop("last"))
-    needed = crowded.select("h").distinct()
-    forms = materialize(lines.select("h", "form").join(needed, "h", "left_semi").groupBy("h").agg(F.min("form").alias("form")))
+    needed = materialize(crowded.select("h").distinct())
+    forms = materialize(lines.select("h", "form").join(broadcast_if_small(needed), "h", "left_semi").groupBy("h").agg(F.first("form").alias("form")))
     pairs = crowded.where("h <> hub").select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(_verified(pairs, forms, k, threshold))
-    first = materialize(connected_components(links))
-    labelled = crowded.join(first.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "hub", F.coalesce("component", "h").alias("c"))
+    first = materialize(connected_components(links, rough_rounds=1))
+    labelled = crowded.join(first.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("c"))
     split = labelled.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).where("low <> high")
-    split = materialize(split.select("key", "h", "hub", "c"))
-    x, y = split.select("key", F.col("h").alias("a"), F.col("c").alias("ca"), "hub"), split.select("key", F.col("h").alias("b"), F.col("c").alias("cb"))
-    rest = x.join(y, "key").where("a < b and ca <> cb and a <> hub").select("a", "b").distinct()
-    more = _verified(rest, forms, k, threshold)
-    groups = materialize(connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    sized = split.select("key", "h", "c").join(forms, "h")
+    sized = sized.withColumn("blocks", F.ceil(F.greatest(F.count("*").over(bucket) / BLOCK_ROWS, F.sum(F.length("form")).over(bucket) / BLOCK_CHARS)).cast("int"))
+    sized = sized.withColumn("block", F.pmod("h", "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    more = _unlike(sized.select("*", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")), k, threshold)
+    groups = materialize(connected_components(links.unionByName(more)))
     named = unique.select("h", "at", "n").join(groups.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or component is not null")
     named = named.withColumn("component", F.coalesce("component", "h"))
     keepers = named.groupBy("component").agg(F.min("at").alias("keep"))
-    return named.join(keepers, "component").select("h", F.col("keep.id").alias("keep_id"), F.col("keep.line_no").alias("keep_line"))
+    return materialize(named.join(keepers, "component").select("h", F.col("keep.id").alias("keep_id"), F.col("keep.line_no").alias("keep_line")))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, **how) -> DataFrame:
     """id, removed: for each document that loses lines, their numbers and hashes (an array of structs)."""
     lines = lines_of(docs, id_col, text_col, min_chars)
     groups = line_groups(lines, **how)
-    lost = lines.select("id", "line_no", "h").join(groups, "h").where("not (id <=> keep_id and line_no = keep_line)")
+    lost = lines.select("id", "line_no", "h").join(broadcast_if_small(groups), "h").where("not (id <=> keep_id and line_no = keep_line)")
     return lost.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("line_no", "h"))).alias("removed"))
 
 
@@ -153,7 +242,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.join(lost, F.expr(f"`{id_col}` <=> _lost_id"), "left")
 
     def stays(line, i):
-        return ~F.array_contains("_lost", F.struct(i.alias("line_no"), F.xxhash64(F.lower(F.trim(line))).alias("h")))
+        return ~F.array_contains("_lost", F.struct(i.alias("line_no"), F.xxhash64(F.trim(line)).alias("h")))
 
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), stays), "\n")
     return joined.withColumn(text_col, F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(kept)).drop("_lost_id", "_lost")

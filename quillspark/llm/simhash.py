@@ -108,7 +108,7 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, pieces: int | None = No
     hub = F.min("fp").over(Window.partitionBy(*bucket))
     stars = signatures(fps, distance, pieces).where("wild < 0").withColumn("hub", hub)
     near = materialize(stars.where((F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), distance)).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
-    first = materialize(connected_components(near))
+    first = materialize(connected_components(near, rough_rounds=1))
     labelled = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
     index = signatures(materialize(labelled), distance, pieces)
     index = index.withColumn("bit", F.expr("(fp & shiftleft(1L, greatest(wild, 0))) <> 0"))
@@ -116,8 +116,7 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, pieces: int | None = No
     right = index.where("wild < 0 or bit").select(*bucket, F.col("fp").alias("b"), F.col("component").alias("cb"))
     met = left.join(right, (left.block == right.block) & (left.wild == right.wild) & (left.rest == right.rest) & (F.col("ca") != F.col("cb")) & ((left.wild >= 0) | (F.col("a") < F.col("b"))) & _near(F.col("a"), F.col("b"), distance))
     more = met.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    stars_again = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    merged = connected_components(stars_again.unionByName(more))
+    merged = connected_components(near.unionByName(more))
     return merged.select(F.col("node").alias("fp"), "component")
 
 
