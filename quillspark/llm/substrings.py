@@ -28,7 +28,7 @@ from quillspark.llm.common import materialize, mix64, table, utf8_buffers
 
 LENGTH, ANCHOR = 50, 28
 #: Window starts looked at together, and bytes of fragments compared together.
-CHUNK, BUCKET = 2 << 20, 2 << 20
+CHUNK, BUCKET = 1 << 20, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 LAST = np.iinfo(np.int64).max
 
@@ -204,7 +204,7 @@ def _settle(part: pa.Table) -> pa.Table:
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of text ordered by what follows them, up to depth symbols and not past their own end; ties by position."""
+    """Positions of text ordered by what follows them, up to depth symbols and not past their own end; ties in any order."""
     n = len(text)
     left = ends - np.arange(n)
     key = np.zeros(n, np.uint64)
@@ -214,7 +214,7 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
             key[: n - j] |= np.where(left[: n - j] > j, text[j:], 0).astype(np.uint64)
     have = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if have >= depth:
             return order
         rank = np.empty(n, np.uint64)
