@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from quillspark.plans import catalogue, jobs, monitoring
+
+MODULES: tuple = (catalogue, monitoring, jobs)
 
 
 def queries() -> dict:
