@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import catalogue, jobs, monitoring
+from quillspark.plans import catalogue, jobs, monitoring, retrieval
 
-MODULES: tuple = (catalogue, monitoring, jobs)
+MODULES: tuple = (catalogue, monitoring, jobs, retrieval)
 
 
 def queries() -> dict:
