@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from quillspark.plans import catalogue, jobs, monitoring, retrieval
+from quillspark.streaming import health
 
-MODULES: tuple = (catalogue, monitoring, jobs, retrieval)
+MODULES: tuple = (catalogue, monitoring, jobs, retrieval, health)
 
 
 def queries() -> dict:
