@@ -111,7 +111,7 @@ class ItemIndex:
         hashes, rows = shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), bounds, width)
         sizes = np.bincount(rows, minlength=len(raw))
         present = np.flatnonzero(sizes)
-        starts = np.concatenate(([0], np.cumsum(sizes[present])[:-1])).astype(np.int64)
+        starts = (np.cumsum(sizes[present]) - sizes[present]).astype(np.int64)
         bits = int(np.clip(np.ceil(np.log2(64 * (len(present) + 1))), 12, 22))
         classes, tables, upper, below = [], [], LEAST_CLASS, 0
         values = [minima(hashes, k, starts) if len(starts) else np.zeros(0, np.uint32) for k in range(functions)]

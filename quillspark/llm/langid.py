@@ -103,7 +103,8 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, per_language: int =
                 vector = encoder.encode(text)
                 if vector is not None:
                     sums[lang] = sums.get(lang, 0) + np.rint(vector.astype(np.float64) * (1 << 20)).astype(np.int64)
-        yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]}, columns=["lang", "v"])
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
 
     parts = sample.mapInPandas(partial, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
     rows = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
