@@ -38,7 +38,7 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     fields = "array<struct<id:string,company:string,role:string,status:string,dateApplied:string>>"
     text = spark.read.text(path, wholetext=True)
     wrapped = F.from_json("value", T._parse_datatype_string(f"struct<jobs:{fields}>"))["jobs"]
-    rows = text.select(F.explode(F.coalesce(F.from_json("value", T._parse_datatype_string(fields)), wrapped)).alias("j")).select("j.*")
+    rows = text.select(F.explode(F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", T._parse_datatype_string(fields))).otherwise(wrapped)).alias("j")).select("j.*")
     known = F.col("status").isin("wishlist", "applied", "followup", "interview", "offer", "rejected")
     return rows.withColumn("status", F.when(known, F.col("status")).otherwise("wishlist"))
 
@@ -63,7 +63,7 @@ def read_markdown(spark: SparkSession, folder: str, name: str = "SKILL.md") -> D
     """path, front (map of the scalar front-matter keys), body of every such file below folder."""
     raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select("value", F.col("_metadata.file_path").alias("path"))
     block = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1)
-    folded = F.regexp_replace(F.regexp_replace(block, r":[ \t]*>[ \t]*\n[ \t]+", ": "), r"\n[ \t]+(?![\w-]+:)", " ")
+    folded = F.regexp_replace(F.regexp_replace(block, r":[ \t]*>[ \t]*\n[ \t]+", ": "), r"\n[ \t]++(?![\w-]+:)", " ")
     pairs = F.transform(F.filter(F.split(folded, "\n"), lambda x: x.rlike(r"^\s*[\w-]+:\s*\S")), lambda x: F.struct(F.regexp_extract(x, r"^\s*([\w-]+):", 1), F.regexp_replace(F.regexp_extract(x, r":\s*(.*?)\s*$", 1), r"^[\"']|[\"']$", "")))
     first = F.array_distinct(F.transform(pairs, lambda p: p["col1"]))
     unique = F.transform(first, lambda k: F.element_at(F.filter(pairs, lambda p: p["col1"] == k), 1))
