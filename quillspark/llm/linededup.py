@@ -42,29 +42,38 @@ def _points(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def shingle_hashes(points: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-grams of code points that lie within a row, and how many each row has."""
+    """Hashes of all k-grams of code points that begin in a row (those that run over its end included; mind the
+    counts) with one spare element at the end, and how many k-grams lie within each row."""
     counts = np.maximum(np.diff(bounds) - k + 1, 0)
-    if not counts.sum():
-        return np.zeros(0, np.uint64), counts
-    grams = np.zeros(len(points) - k + 1, np.uint64)
-    for j, factor in enumerate(_odd(k, 11)):
-        grams += points[j : len(points) - k + 1 + j] * factor
-    rows = np.flatnonzero(counts)
-    valid = np.arange(counts.sum()) + np.repeat(bounds[:-1][rows] - np.concatenate(([0], np.cumsum(counts[rows])[:-1])), counts[rows])
-    return mix64(grams[valid]), counts
-
-
-def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key for each row and band out of bands * rows minima (two 32-bit ones for each 64-bit hash function)."""
-    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    grams, width, factors = points.copy(), 1, iter(_odd(64, 11))
+    wanted = max(len(points) - k + 1, 0)
+    while width < k and wanted:
+        step = min(width, k - width)
+        grams = grams[: len(grams) - step] * next(factors) + grams[step:]
+        width += step
+    return np.append(mix64(grams[:wanted]), np.uint64(0)), counts
+
+
+def rows_of(hashes: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of shingle_hashes' hashes those that lie within rows, row after row."""
+    first = np.repeat(bounds[:-1] - (np.cumsum(counts) - counts), counts)
+    return hashes[np.arange(len(first)) + first]
+
+
+def band_keys(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key for each row and band out of bands * rows minima (two 32-bit ones for each 64-bit hash function).
+
+    Row i has the counts[i] hashes from starts[i] on; what lies between rows is passed over.
+    """
+    edges = np.stack((starts, starts + counts), axis=1).reshape(-1)
     halves = (bands * rows + 1) // 2
     minima = np.empty((len(counts), 2 * halves), np.uint64)
     for i, factor in enumerate(_odd(halves, 23)):
         h = hashes * factor
         h ^= h >> np.uint64(32)
         pair = h.view(np.uint32).reshape(-1, 2)
-        minima[:, 2 * i] = np.minimum.reduceat(pair[:, 0], starts)
-        minima[:, 2 * i + 1] = np.minimum.reduceat(pair[:, 1], starts)
+        minima[:, 2 * i] = np.minimum.reduceat(pair[:, 0], edges)[::2]
+        minima[:, 2 * i + 1] = np.minimum.reduceat(pair[:, 1], edges)[::2]
     minima = minima[:, : bands * rows].reshape(len(counts), bands, rows)
     keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(counts), 1))
     for j in range(rows):
@@ -81,10 +90,11 @@ def _signed(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             found = np.zeros((batch.num_rows, bands), np.uint64)
             full = np.zeros(batch.num_rows, bool)
             for a, b in slices(bounds, 1 << 20):
-                hashes, counts = shingle_hashes(*_points(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]), k)
+                points, at = _points(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                hashes, counts = shingle_hashes(points, at, k)
                 has = np.flatnonzero(counts)
                 if len(has):
-                    found[a + has] = band_keys(hashes, counts[has], bands, rows)
+                    found[a + has] = band_keys(hashes, at[has], counts[has], bands, rows)
                     full[a + has] = True
             sizes = np.where(full, bands, 0)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
@@ -111,7 +121,9 @@ def similarities(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
     sides = []
     for column in (a, b):
         bounds, data = utf8_buffers(column)
-        hashes, counts = shingle_hashes(*_points(data, bounds), k)
+        points, at = _points(data, bounds)
+        hashes, counts = shingle_hashes(points, at, k)
+        hashes = rows_of(hashes, at, counts)
         pair = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
         ordered = np.sort(pair << np.uint64(54) | hashes >> np.uint64(10))
         sides.append(ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered)
@@ -145,7 +157,7 @@ def _unlike(rows: DataFrame, k: int, threshold: float) -> DataFrame:
 
     def links(group: list[tuple], lo: int, hi: int) -> Iterator[tuple[int, int]]:
         parent: dict[int, int] = {}
-        sets: dict[int, set[int]] = {}
+        sets: dict[int, tuple[set[int], list[list[int]]]] = {}
 
         def find(x: int) -> int:
             while (up := parent.get(x, x)) != x:
@@ -153,33 +165,44 @@ def _unlike(rows: DataFrame, k: int, threshold: float) -> DataFrame:
                 x = up
             return x
 
-        def shingles(i: int) -> set[int]:
+        def shingles(i: int) -> tuple[set[int], list[list[int]]]:
             if i not in sets:
-                sets[i] = set(group[i][3].tolist())
+                own = set(group[i][3].tolist())
+                each = list(own)
+                sets[i] = own, [each[j : j + 64] for j in range(0, len(each), 64)]
             return sets[i]
 
+        def alike(i: int, j: int) -> bool:
+            """Whether two members are similar enough; ends as soon as too many shingles have no match."""
+            small, large = sorted((shingles(i), shingles(j)), key=lambda x: len(x[0]))
+            n, m = len(small[0]), len(large[0])
+            most = n - threshold / (1 + threshold) * (n + m) + 1e-6
+            both = seen = 0
+            for part in small[1]:
+                if most < seen - both:
+                    return False
+                both += len(large[0].intersection(part))
+                seen += len(part)
+            return both >= threshold * (n + m - both)
+
         for i, (block, h, c, _) in enumerate(group):
             root = find(c)
             for j in range(i):
                 if lo != hi and group[j][0] == block:
                     continue
                 other = find(group[j][2])
-                if other != root:
-                    x, y = shingles(i), shingles(j)
-                    least = min(len(x), len(y))
-                    if least >= threshold * max(len(x), len(y)):
-                        both = len(x & y)
-                        if both >= threshold * (len(x) + len(y) - both):
-                            parent[other] = root
-                            yield h, group[j][1]
+                if other != root and alike(i, j):
+                    parent[other] = root
+                    yield h, group[j][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, group = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
             bounds, data = utf8_buffers(batch.column(6))
-            hashes, counts = shingle_hashes(*_points(data, bounds), k)
-            forms = np.split(hashes, np.cumsum(counts)[:-1])
+            points, at = _points(data, bounds)
+            hashes, counts = shingle_hashes(points, at, k)
+            forms = [hashes[i : i + n] for i, n in zip(at[:-1].tolist(), counts.tolist(), strict=True)]
             for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns[:6]), forms, strict=True):
                 if (key, lo, hi) != head:
                     if len(group) > 1:
@@ -199,14 +222,16 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def line_groups(lines: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def line_groups(lines: DataFrame, signed: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """h, keep_id, keep_line for every form that occurs twice or has a near-duplicate (materialised).
 
+    signed: what _signed makes of lines, materialised.
+
     Bucket members are first compared with the bucket's smallest hash, which settles most copies at one comparison
     each. Buckets whose members are still in different components are then looked into: large ones in pairs of blocks
     of bounded rows and bytes, each pair of blocks in a task of its own. No link between components is left out.
     """
-    unique = materialize(_signed(lines, k, bands, rows).groupBy("h").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+    unique = materialize(signed.groupBy("h").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")))
     bucket = Window.partitionBy("key")
     index = unique.select("h", F.explode("keys").alias("key"))
     crowded = materialize(index.select("key", "h", F.min("h").over(bucket).alias("hub"), F.max("h").over(bucket).alias("last")).where("hub <> last").drop("last"))
@@ -228,11 +253,12 @@ def line_groups(lines: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD
     return materialize(named.join(keepers, "component").select("h", F.col("keep.id").alias("keep_id"), F.col("keep.line_no").alias("keep_line")))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, **how) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, removed: for each document that loses lines, their numbers and hashes (an array of structs)."""
     lines = lines_of(docs, id_col, text_col, min_chars)
-    groups = line_groups(lines, **how)
-    lost = lines.select("id", "line_no", "h").join(broadcast_if_small(groups), "h").where("not (id <=> keep_id and line_no = keep_line)")
+    signed = materialize(_signed(lines, k, bands, rows))
+    groups = line_groups(lines, signed, k, threshold)
+    lost = signed.select("id", "line_no", "h").join(broadcast_if_small(groups), "h").where("not (id <=> keep_id and line_no = keep_line)")
     return lost.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("line_no", "h"))).alias("removed"))
 
 
