@@ -42,6 +42,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hands texts to Python in batches of so many rows, unless the session already asks for fewer than the default.
+
+    A document may be long; with the default of 10000 rows two Python workers hold hundreds of megabytes.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) >= 10_000:
+        spark.conf.set(key, str(rows))
+
+
 #: Rows of a narrow (id or hash) table up to which it may be broadcast; beyond that both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 

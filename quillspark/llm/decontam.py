@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix64, slices, table, utf8_buffers
+from quillspark.llm.common import mix64, slices, small_batches, table, utf8_buffers
 
 WIDTH, THRESHOLD, FUNCTIONS, LEAST_CLASS = 5, 0.8, 48, 16
 #: Items are searched for in blocks of at most so many bytes of text, each block in a pass of its own over the documents.
@@ -196,7 +196,7 @@ def _searcher(index, threshold: float, width: int, functions: int):
         for batch in batches:
             bounds, data = utf8_buffers(batch.column(1))
             rows_out, items_out, shared_out = [], [], []
-            for a, b in slices(bounds, 1 << 22):
+            for a, b in slices(bounds, 1 << 19):
                 raw = data[bounds[a] : bounds[b]]
                 at = bounds[a : b + 1] - bounds[a]
                 hashes, rows = shingle_hashes(raw, at, width)
@@ -234,6 +234,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
+    small_batches(spark)
     hit = find_contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(hit, F.expr("doc_id <=> _hit"), "left_anti")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import small_batches, table
 
 DIMENSIONS, SYMBOLS, PER_LANGUAGE = 512, 64, 3000
 
@@ -160,6 +160,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that have no letter in them; lang is what the text says where it was missing."""
+    small_batches(spark)
     found = predict(spark, docs.select("*", F.col("text").alias("_text")), fit(docs), "_text")
     kept = found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred"))
     return kept.select(docs.columns)

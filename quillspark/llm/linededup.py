@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, materialize, mix64, slices, table, utf8_buffers
+from quillspark.llm.common import broadcast_if_small, materialize, mix64, slices, small_batches, table, utf8_buffers
 from quillspark.llm.components import connected_components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, MIN_CHARS = 8, 0.8, 7, 3, 10
 #: Most rows, and about most characters, of a bucket's block; two blocks are compared in one task.
-BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 19
+BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 17
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def _signed(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             bounds, data = utf8_buffers(batch.column(3))
             found = np.zeros((batch.num_rows, bands), np.uint64)
             full = np.zeros(batch.num_rows, bool)
-            for a, b in slices(bounds, 1 << 20):
+            for a, b in slices(bounds, 1 << 16):
                 points, at = _points(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 hashes, counts = shingle_hashes(points, at, k)
                 has = np.flatnonzero(counts)
@@ -290,6 +290,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated lines cut out; n_chars follows the text. No document goes."""
+    small_batches(spark)
     found = dedup_lines(docs)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

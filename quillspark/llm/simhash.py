@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, slices, table, utf8_buffers
+from quillspark.llm.common import materialize, slices, small_batches, table, utf8_buffers
 from quillspark.llm.components import connected_components
 
 BITS = 64
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             bounds, data = utf8_buffers(batch.column(1))
             out = np.zeros(batch.num_rows, np.uint64)
-            for a, b in slices(bounds, 1 << 22):
+            for a, b in slices(bounds, 1 << 20):
                 raw = data[bounds[a] : bounds[b]].tobytes()
                 at = (bounds[a : b + 1] - bounds[a]).tolist()
                 for i in range(b - a):
@@ -142,6 +142,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group (one row, if ids repeat); those without id stay."""
+    small_batches(spark)
     found = near_duplicates(docs)
     keep = found.where("id is null or id = component_id").select(F.col("id").alias("_id")).where("_id is not null").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
