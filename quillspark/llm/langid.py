@@ -86,15 +86,16 @@ class Encoder:
 def train(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Language names, sorted, and their prototypes (unit rows).
 
-    Learns from about per_language texts of each language, picked by a hash of the text. What comes to the driver is
-    one vector for each language.
+    Learns from about per_language different texts of each language at most, picked by a hash of the text; copies of
+    a picked text count once, so that a large group of copies neither outgrows the sample nor outweighs the language.
+    What comes to the driver is one vector for each language.
     """
     known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], np.zeros((0, dimensions), np.float32)
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).distinct()
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, sums = Encoder(dimensions), {}

@@ -136,6 +136,13 @@ def test_language_id_on_held_out(spark, docs):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_prototypes_count_copies_once(spark, docs):
+    labelled = docs.select("text", "lang")
+    copies = labelled.where("lang = 'de'").limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")
+    (names, once), (again, many) = langid.train(labelled, "text", "lang"), langid.train(labelled.unionByName(copies), "text", "lang")
+    assert names == again and (once == many).all()
+
+
 def test_decontamination_finds_short_items_in_long_texts(spark):
     item = " ".join(f"word{i}" for i in range(20))
     changed = item.replace("word10", "other")
