@@ -10,7 +10,10 @@ Candidates come from a size-partitioned MinHash search. Items are dealt into cla
 short item and the window around it are of like size, however long the document is; an item and a window meet if one
 of `functions` minima agrees. At the least overlap that matters (an item half as long as its class allows, four
 fifths of it inside the window) a pair meets with probability over 0.9999. Windows of larger classes are merged from
-those of the smaller ones. Candidates are verified by exact containment over the words themselves.
+those of the smaller ones. Items with fewer different shingles than that (all of the least class, and such as repeat
+themselves) are looked up instead: of n shingles a document that contains the item lacks n - ceil(threshold * n) at
+most, so one of any n - ceil(threshold * n) + 1 is in it, and none of those items is missed. Candidates are verified
+by exact containment over the words themselves.
 """
 
 from __future__ import annotations
@@ -96,16 +99,17 @@ def shingles(text: bytes, width: int = WIDTH) -> set[tuple[bytes, ...]]:
 
 @dataclass
 class ItemIndex:
-    """Minima of a block of items by size class and hash function, with what verification needs."""
+    """Minima of a block of items by size class and hash function, shingles of the short ones, and what verification needs."""
 
     ids: list
     shingles: list[set]
     classes: list[int]
     tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
-    shift: int
+    short: tuple[np.ndarray, np.ndarray, np.ndarray]
+    bits: int
 
     @classmethod
-    def of(cls, ids: list, texts: list[str], functions: int, width: int) -> ItemIndex:
+    def of(cls, ids: list, texts: list[str], functions: int, width: int, threshold: float = THRESHOLD) -> ItemIndex:
         raw = [t.encode() for t in texts]
         bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         hashes, rows = shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), bounds, width)
@@ -113,29 +117,33 @@ class ItemIndex:
         present = np.flatnonzero(sizes)
         starts = (np.cumsum(sizes[present]) - sizes[present]).astype(np.int64)
         bits = int(np.clip(np.ceil(np.log2(64 * (len(present) + 1))), 12, 22))
+        different = np.array([len(np.unique(hashes[a : a + n])) for a, n in zip(starts, sizes[present], strict=True)], np.int64)
+        few = np.zeros(len(raw), bool)
         classes, tables, upper, below = [], [], LEAST_CLASS, 0
         values = [minima(hashes, k, starts) if len(starts) else np.zeros(0, np.uint32) for k in range(functions)]
         while len(present) and below < sizes.max():
-            chosen = np.flatnonzero((sizes[present] > below) & (sizes[present] <= upper))
+            of_size = (sizes[present] > below) & (sizes[present] <= upper)
+            is_few = different <= max(LEAST_CLASS, upper // 2)
+            few[present[of_size & is_few]] = True
+            chosen = np.flatnonzero(of_size & ~is_few)
             of_class = []
             for k in range(functions):
                 own = values[k][chosen]
-                order = np.argsort(own, kind="stable")
-                seen = np.zeros(1 << bits, bool)
-                seen[own >> np.uint32(32 - bits)] = True
-                of_class.append((own[order], present[chosen][order], seen))
+                of_class.append(_lookup(own, present[chosen], bits))
             classes.append(upper)
             tables.append(of_class if len(chosen) else [])
             below, upper = upper, upper * 2
-        return cls(ids, [shingles(r, width) for r in raw], classes, tables, 32 - bits)
+        short = _lookup(*_needed(hashes[few[rows]], rows[few[rows]], threshold), bits)
+        return cls(ids, [shingles(r, width) for r in raw], classes, tables, short, bits)
 
     def candidates(self, hashes: np.ndarray, rows: np.ndarray, n_rows: int, functions: int) -> np.ndarray:
-        """Distinct row * items + item of rows and items that share a minimum in some window."""
+        """Distinct row * items + item of rows and items that share a minimum in some window or a shingle looked up."""
         found: list[np.ndarray] = []
         if not len(hashes) or not self.classes:
             return np.zeros(0, np.int64)
+        found.append(self._meet(hashes, rows, self.short))
         sizes = np.bincount(rows, minlength=n_rows)
-        for k in range(functions):
+        for k in range(functions if any(self.tables) else 0):
             step, values, own = LEAST_CLASS, None, None
             for upper, of_class in zip(self.classes, self.tables, strict=True):
                 if values is None:
@@ -149,14 +157,46 @@ class ItemIndex:
                 windows = values.copy()
                 same = own[1:] == own[:-1]
                 windows[:-1][same] = np.minimum(values[:-1][same], values[1:][same])
-                sorted_values, items, seen = of_class[k]
-                hit = np.flatnonzero(seen[windows >> np.uint32(self.shift)])
-                low = np.searchsorted(sorted_values, windows[hit], "left")
-                many = np.searchsorted(sorted_values, windows[hit], "right") - low
-                if many.any():
-                    spread = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    found.append(np.unique(np.repeat(own[hit], many) * len(self.ids) + items[spread]))
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                found.append(self._meet(windows, own, of_class[k]))
+        return np.unique(np.concatenate(found))
+
+    def _meet(self, values: np.ndarray, own: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Distinct row * items + item where one of the values, of rows own, is an item's."""
+        sorted_values, items, seen = known
+        hit = np.flatnonzero(seen[_top(values, self.bits)])
+        low = np.searchsorted(sorted_values, values[hit], "left")
+        many = np.searchsorted(sorted_values, values[hit], "right") - low
+        spread = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.unique(np.repeat(own[hit], many) * len(self.ids) + items[spread])
+
+
+def _top(values: np.ndarray, bits: int) -> np.ndarray:
+    return values >> values.dtype.type(8 * values.dtype.itemsize - bits)
+
+
+def _lookup(values: np.ndarray, items: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values sorted, their items, and which leading bits occur."""
+    order = np.argsort(values, kind="stable")
+    seen = np.zeros(1 << bits, bool)
+    seen[_top(values, bits)] = True
+    return values[order], items[order], seen
+
+
+def _needed(hashes: np.ndarray, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """So many of each row's distinct hashes, the rarest first, that a text without them all has less than the threshold."""
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    hashes, rows = hashes[first], rows[first]
+    _, which, uses = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.lexsort((hashes, uses[which], rows))
+    hashes, rows = hashes[order], rows[order]
+    sizes = np.bincount(rows) if len(rows) else np.zeros(0, np.int64)
+    place = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
+    wanted = sizes - np.maximum(np.ceil(threshold * sizes), 1) + 1
+    keep = place < wanted[rows]
+    return hashes[keep], rows[keep]
 
 
 def _runs(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +223,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     for block in range(blocks):
         own = small.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else small
         rows = own.collect()
-        index = spark.sparkContext.broadcast(ItemIndex.of([r.item_id for r in rows], [r.text for r in rows], functions, width))
+        index = spark.sparkContext.broadcast(ItemIndex.of([r.item_id for r in rows], [r.text for r in rows], functions, width, threshold))
         part = source.mapInArrow(_searcher(index, threshold, width, functions), f"doc_id {id_types[0]}, item_id {id_types[1]}, n_shared long, n_item long, containment double")
         found = part if found is None else found.unionByName(part)
     return found

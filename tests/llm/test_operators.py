@@ -155,6 +155,15 @@ def test_decontamination_finds_short_items_in_long_texts(spark):
     assert decontam.find_contamination(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_of_few_words(spark):
+    """Items of 5 to 8 words, and one that repeats itself, each in a long text of its own."""
+    items = [(i, " ".join(f"item{i}word{j}" for j in range(5 + i % 4))) for i in range(200)] + [(200, "one two three four five six " * 9)]
+    docs = [(i, " ".join([f"before{i}x{j}" for j in range(300)] + [text] + [f"after{i}x{j}" for j in range(300)])) for i, text in items]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(*frames).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
 def test_license_scan(spark, odd):
     text = "See the MIT license. Licensed under the Apache License, Version 2.0! GNU General Public License and mit license"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "Licensed under CC BY-NC 4.0."), (4, "Licensed under a CC BY-NC 4.0.")], "doc_id long, text string")
