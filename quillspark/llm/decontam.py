@@ -273,10 +273,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
+    """Drops documents that contain a benchmark item; other rows of the same id, or without one, stay.
+
+    A row is known by its id and a hash of its text.
+    """
     small_batches(spark)
-    hit = find_contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.expr("doc_id <=> _hit"), "left_anti")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    found = find_contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
+    hit = found.select(F.col("doc_id.doc_id").alias("_hit"), F.col("doc_id.h").alias("_hit_h")).distinct()
+    return docs.join(hit, F.expr("doc_id <=> _hit and xxhash64(text) = _hit_h"), "left_anti")
 
 
 QUERIES = {"op1_decontamination": op1_decontamination}

@@ -141,13 +141,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group (one row, if ids repeat); those without id stay."""
+    """Keeps the document with the smallest id of each near-duplicate group; those without id stay.
+
+    A row is known by its id and a hash of its text: texts of different groups stay, though they share an id, and of a
+    group one row stays, though several have its smallest id.
+    """
     small_batches(spark)
-    found = near_duplicates(docs)
-    keep = found.where("id is null or id = component_id").select(F.col("id").alias("_id")).where("_id is not null").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    kept = docs.join(keep, F.expr("doc_id <=> _id")).drop("_id").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return kept.unionByName(docs.where("doc_id is null"))
+    text_hash = F.xxhash64("text")
+    groups = near_duplicates(docs.select(text_hash.alias("_h"), "text"), "_h").select(F.col("id").alias("_h"), F.col("component_id").alias("_group")).distinct()
+    least = docs.where("doc_id is not null").groupBy(text_hash.alias("_h")).agg(F.min("doc_id").alias("_id"))
+    keep = groups.join(least, "_h").groupBy("_group").agg(F.min(F.struct("_id", "_h")).alias("_keep")).select("_keep._id", "_keep._h")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("source", "lang"))
+    kept = docs.join(keep, (F.col("doc_id") == F.col("_id")) & (text_hash == F.col("_h")))
+    return kept.withColumn("_rank", rank).where("_rank = 1").drop("_id", "_h", "_rank").unionByName(docs.where("doc_id is null"))
 
 
 QUERIES = {"op2_simhash": op2_simhash}

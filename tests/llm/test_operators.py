@@ -226,6 +226,20 @@ def test_stages_take_odd_rows(spark, odd):
         assert stage(spark, odd.limit(0), SMALL).count() == 0
 
 
+def test_stages_drop_rows_not_ids(spark):
+    """Of rows that share an id, or have none, only the contaminated or duplicate one goes."""
+    item = next(r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").collect() if r.text and len(r.text.split()) > 8)
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(None, item), (None, a), (1, item), (1, b), (2, c), (2, c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontam.stage(spark, frame, SMALL).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (1, b), (2, c), (2, c)], key=str)
+    rows = [(5, a), (5, b), (5, b), (6, b), (3, c), (5, c), (None, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    got = [(r.doc_id, r.text) for r in simhash.stage(spark, frame, SMALL).collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (5, b), (3, c), (None, a)], key=str)
+
+
 def test_pipeline_is_repeatable_and_keeps_one_of_each_group(spark, docs):
     once, again = (sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()) for _ in range(2))
     assert once == again and len(once) == len(set(once))
