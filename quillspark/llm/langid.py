@@ -1,10 +1,10 @@
 """Language identification with hyperdimensional n-gram profiles.
 
-Every letter has a random vector of +1 and -1. A trigram's vector is the product of its letters' vectors, the first
-rotated twice, the second once; a text's vector is the sum over its trigrams, and a language's prototype the sum of
-its training texts' unit vectors. The prediction is the prototype with the largest cosine, ties going to the smaller
-name. Texts that are null or have no letter are `und` with score 0. Letters are folded to 63 symbols by code point,
-anything else separates words; the folding keeps memory bounded for any script.
+Every letter has a random vector of +1 and -1, drawn from a hash of its code point; anything else separates words. A
+trigram's vector is the product of its letters' vectors, the first rotated twice, the second once; a text's vector is
+the sum over its trigrams, and a language's prototype the sum of its training texts' unit vectors. The prediction is
+the prototype with the largest cosine, ties going to the smaller name. Texts that are null or have no letter are `und`
+with score 0. Vectors of at most CACHE trigrams are kept at hand, which bounds memory for any script.
 """
 
 from __future__ import annotations
@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, table
+from quillspark.llm.common import mix64, small_batches, table
 
-DIMENSIONS, SYMBOLS, PER_LANGUAGE = 512, 64, 3000
+DIMENSIONS, PER_LANGUAGE = 512, 3000
+#: Most trigrams whose vectors are kept, and how many are summed at a time.
+CACHE, BLOCK = 1 << 17, 1 << 14
+#: Bits of a code point in a trigram's number.
+POINT = 21
 
 _letters: np.ndarray | None = None
 
@@ -38,47 +42,66 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = _is_letter()[points]
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    folded = np.where(letter, points % (SYMBOLS - 1) + 1, 0).astype(np.int64)
-    folded = np.concatenate(([0], folded, [0]))
-    folded = folded[np.concatenate(([True], (folded[1:] != 0) | (folded[:-1] != 0)))]
-    grams = (folded[:-2] * SYMBOLS + folded[1:-1]) * SYMBOLS + folded[2:]
-    if len(grams) < SYMBOLS**3 // 8:
-        return np.unique(grams, return_counts=True)
-    counts = np.bincount(grams, minlength=SYMBOLS**3)
-    found = np.flatnonzero(counts)
-    return found, counts[found]
+    points = np.concatenate(([0], np.where(letter, points, 0), [0])).astype(np.int64)
+    points = points[np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0)))]
+    return np.unique(points[:-2] << 2 * POINT | points[1:-1] << POINT | points[2:], return_counts=True)
+
+
+def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 7) -> np.ndarray:
+    """A row of +1 and -1 for each code point (0: what separates words)."""
+    words = np.arange(-(-dimensions // 64), dtype=np.uint64) + np.uint64(seed << 32)
+    start = mix64((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    bits = mix64(start[:, None] + mix64(words * np.uint64(0xD1B54A32D192ED03)))
+    return np.unpackbits(bits.view(np.uint8), axis=1)[:, :dimensions].astype(np.int8) * 2 - 1
 
 
 class Encoder:
     """Text to hypervector, with the vectors of trigrams met so far at hand."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 7):
-        letters = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions), np.int8) * 2 - 1
-        self.rotated = [np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters]
-        self.place = np.full(SYMBOLS**3, -1, np.int32)
+        self.dimensions, self.seed = dimensions, seed
         self.known = np.zeros((0, dimensions), np.int8)
-        self.size = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.grams, self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _made(self, grams: np.ndarray) -> np.ndarray:
+        mask = (1 << POINT) - 1
+        points, which = np.unique(np.concatenate((grams >> 2 * POINT, grams >> POINT & mask, grams & mask)), return_inverse=True)
+        a, b, c = which.reshape(3, -1)
+        letters = letter_vectors(points, self.dimensions, self.seed)
+        return np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
-        """One row for each trigram number."""
-        new = grams[self.place[grams] < 0]
-        if len(new):
-            if self.size + len(new) > len(self.known):
-                grown = np.zeros((min(SYMBOLS**3, max(1024, 2 * (self.size + len(new)))), self.known.shape[1]), np.int8)
+        """One row for each trigram number (BLOCK distinct ones at most, ascending)."""
+        at = np.searchsorted(self.grams, grams)
+        new = np.ones(len(grams), bool)
+        inside = at < self.size
+        new[inside] = self.grams[at[inside]] != grams[inside]
+        if new.any():
+            if self.size + new.sum() > CACHE:
+                self._forget()
+                at, new = np.zeros(len(grams), np.int64), np.ones(len(grams), bool)
+            fresh, end = grams[new], self.size + int(new.sum())
+            if end > len(self.known):
+                grown = np.zeros((min(CACHE, max(1024, 2 * end)), self.dimensions), np.int8)
                 grown[: self.size] = self.known[: self.size]
                 self.known = grown
-            a, b, c = new // SYMBOLS**2, new // SYMBOLS % SYMBOLS, new % SYMBOLS
-            self.known[self.size : self.size + len(new)] = self.rotated[0][a] * self.rotated[1][b] * self.rotated[2][c]
-            self.place[new] = np.arange(self.size, self.size + len(new))
-            self.size += len(new)
-        return self.known[self.place[grams]]
+            self.known[self.size : end] = self._made(fresh)
+            self.grams, self.place = np.insert(self.grams, at[new], fresh), np.insert(self.place, at[new], np.arange(self.size, end))
+            self.size = end
+            at = np.searchsorted(self.grams, grams)
+        return self.known[self.place[at]]
 
     def encode(self, text: str) -> np.ndarray | None:
         """The text's unit vector; None without letters."""
         grams, counts = trigrams(text)
         if not len(grams):
             return None
-        total = counts.astype(np.float32) @ self.vectors(grams).astype(np.float32)
+        total = np.zeros(self.dimensions, np.float32)
+        for i in range(0, len(grams), BLOCK):
+            total += counts[i : i + BLOCK].astype(np.float32) @ self.vectors(grams[i : i + BLOCK]).astype(np.float32)
         size = np.linalg.norm(total)
         return total / size if size else total
 
@@ -87,11 +110,12 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, per_language: int =
     """Language names, sorted, and their prototypes (unit rows).
 
     Learns from about per_language different texts of each language at most, picked by a hash of the text; copies of
-    a picked text count once, so that a large group of copies neither outgrows the sample nor outweighs the language.
+    a picked text count once, so that a large group of copies neither outgrows the sample nor outweighs the language;
+    nor do copies make the sample smaller, as its share is that of the different texts.
     What comes to the driver is one vector for each language.
     """
     known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return [], np.zeros((0, dimensions), np.float32)
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])

@@ -143,6 +143,27 @@ def test_language_prototypes_count_copies_once(spark, docs):
     assert names == again and (once == many).all()
 
 
+def test_language_sample_is_not_thinned_by_copies(spark):
+    texts = spark.range(60).select(F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    copies = spark.range(200_000).select(F.lit("zzz qqq").alias("text"), F.lit("en").alias("lang"))
+    few = texts.unionByName(copies.limit(1))
+    (_, once), (_, many) = langid.train(few, "text", "lang"), langid.train(texts.unionByName(copies), "text", "lang")
+    assert once.shape == many.shape and (once == many).all()
+
+
+def test_letters_have_vectors_of_their_own(monkeypatch):
+    """e acute and k, n tilde and s, sharp s and a once had the same; a full cache changes nothing."""
+    encoder = langid.Encoder()
+    for x, y in ("ék", "ñs", "ßa"):
+        assert abs(float(encoder.encode(x * 3) @ encoder.encode(y * 3))) < 0.5
+    texts = ["first words here", "zweiter Satz für später", "这是一个句子", "first words here"]
+    wanted = [encoder.encode(t) for t in texts]
+    monkeypatch.setattr(langid, "CACHE", 20)
+    monkeypatch.setattr(langid, "BLOCK", 8)
+    small = langid.Encoder()
+    assert all((small.encode(t) == w).all() for t, w in zip(texts, wanted, strict=True))
+
+
 def test_decontamination_finds_short_items_in_long_texts(spark):
     item = " ".join(f"word{i}" for i in range(20))
     changed = item.replace("word10", "other")
