@@ -1,7 +1,8 @@
 """Fuzzy line deduplication: MinHash over character shingles, verified by exact Jaccard similarity.
 
-A line is compared by its form, which is the line without blanks at its ends. Lines of fewer than `min_chars` characters (blank lines
-included) are layout, not content, and always stay. Lines of at least `threshold` Jaccard similarity over their
+A line is compared by its form, which is the line without blanks at its ends. Lines of white space only are layout, not
+content, and always stay; so do lines of fewer than `min_chars` characters where a caller asks for it (the operator and
+the stage do not). Lines shorter than a shingle are linked if they are equal. Lines of at least `threshold` Jaccard similarity over their
 character shingles are linked; of every connected component the line with the smallest (document id, line number)
 stays. Null texts have no lines. Rows that share an id count as one document, so exact repeats of a row keep the
 same lines. Lines are identified by a 64-bit hash of their form.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import broadcast_if_small, materialize, mix64, slices, small_batches, table, utf8_buffers
 from quillspark.llm.components import connected_components
 
-SHINGLE, THRESHOLD, BANDS, ROWS, MIN_CHARS = 8, 0.8, 7, 3, 10
+SHINGLE, THRESHOLD, BANDS, ROWS, MIN_CHARS = 8, 0.8, 8, 3, 10
 #: Most rows, and about most characters, of a bucket's block; two blocks are compared in one task.
 BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 17
 
@@ -31,7 +32,7 @@ def _odd(n: int, seed: int) -> np.ndarray:
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """id, line_no (from 0), line, form, h of every line that is long enough to compare."""
     each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
-    each = each.withColumn("form", F.trim("line")).where(F.length("form") >= min_chars)
+    each = each.withColumn("form", F.trim("line")).where((F.length("form") >= min_chars) & F.col("form").rlike(r"(?U)\S"))
     return each.withColumn("h", F.xxhash64("form"))
 
 
@@ -277,7 +278,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined) of all documents."""
     docs = table(spark, sf_dir, "documents")
-    lost = removed_lines(docs).select(F.col("id").alias("_id"), F.expr("array_sort(array_distinct(transform(removed, x -> x.line_no)))").alias("gone"))
+    lost = removed_lines(docs, min_chars=1).select(F.col("id").alias("_id"), F.expr("array_sort(array_distinct(transform(removed, x -> x.line_no)))").alias("gone"))
     sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"), F.col("text").isNull().alias("none"))
     joined = sizes.join(lost, F.expr("doc_id <=> _id"), "left")
     return joined.select(
@@ -291,7 +292,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated lines cut out; n_chars follows the text. No document goes."""
     small_batches(spark)
-    found = dedup_lines(docs)
+    found = dedup_lines(docs, min_chars=1)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

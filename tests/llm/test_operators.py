@@ -130,6 +130,14 @@ def test_line_dedup(spark):
         assert kept[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in lost))
 
 
+def test_line_dedup_finds_short_lines(spark, tmp_path):
+    """Exact repeats of lines shorter than a shingle go; blank ones stay."""
+    texts = ["}\n\n\t\n这是一个句子。\neight ch", "}\n\n\t\n}\n这是一个句子。", "eight ch\nother", "\u3000\n\u3000"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in linededup.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: "", 1: "0,3,4", 2: "0", 3: ""}
+
+
 def test_language_id_on_held_out(spark, docs):
     found = langid.op3_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id").where("held_out and n_chars > 40").collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
