@@ -39,8 +39,8 @@ SQLS = {
     "s4_daily_availability": f"{W} SELECT cast(ts AS date) AS day, environment, count(*) AS checks, {FAILED} AS failed, {_pct(NOT_FAILED)} AS availability, max(response_ms) AS max_ms FROM checks GROUP BY cast(ts AS date), environment",
     "s4_uptime_series": f"{W}, d AS (SELECT cast(ts AS date) AS day, {_pct(NOT_FAILED)} AS availability FROM checks GROUP BY cast(ts AS date)), r AS (SELECT *, row_number() OVER (ORDER BY day DESC) AS rn FROM d) SELECT day, availability FROM r WHERE rn <= 14",
     # B-12..B-14: log filter relative to the newest row, pages of 25
-    "s4_logs_page": f"{W}, m AS (SELECT max(ts) AS now FROM checks), l AS (SELECT event_id, service, health, row_number() OVER (ORDER BY ts DESC, event_id) AS rn, count(*) OVER () AS total FROM checks, m WHERE ts >= now - INTERVAL '24' HOUR AND lower(environment) = 'qa' AND lower(service || ' ' || health) LIKE '%svc%') SELECT event_id, service, health, rn, cast(ceil(total / 25.0) AS bigint) AS pages FROM l WHERE rn <= 25",
-    "s4_recent": f"{W}, r AS (SELECT event_id, service, row_number() OVER (ORDER BY ts DESC, event_id) AS rn FROM checks) SELECT event_id, service, rn FROM r WHERE rn <= 40",  # F-09, F-11
+    "s4_logs_page": f"{W}, m AS (SELECT max(ts) AS now FROM checks), l AS (SELECT ts, event_id, service, health FROM checks CROSS JOIN m WHERE ts >= now - INTERVAL '24' HOUR AND lower(environment) = 'qa' AND lower(service || ' ' || health) LIKE '%svc%'), t AS (SELECT cast(ceil(count(*) / 25.0) AS bigint) AS pages FROM l), p AS (SELECT * FROM l ORDER BY ts DESC, event_id LIMIT 25) SELECT event_id, service, health, row_number() OVER (ORDER BY ts DESC, event_id) AS rn, pages FROM p CROSS JOIN t",
+    "s4_recent": f"{W}, r AS (SELECT ts, event_id, service FROM checks ORDER BY ts DESC, event_id LIMIT 40) SELECT event_id, service, row_number() OVER (ORDER BY ts DESC, event_id) AS rn FROM r",  # F-09, F-11
     # G-14: time by service, the later row wins
     "s4_pivot_latency": f"{W}, h AS (SELECT date_trunc('day', ts) AS bucket, service, response_ms, row_number() OVER (PARTITION BY date_trunc('day', ts), service ORDER BY ts DESC, event_id DESC) AS rn FROM checks) SELECT cast(bucket AS date) AS bucket, max(CASE WHEN service = 'svc-0' THEN response_ms END) AS svc_0, max(CASE WHEN service = 'svc-1' THEN response_ms END) AS svc_1, max(CASE WHEN service = 'svc-2' THEN response_ms END) AS svc_2 FROM h WHERE rn = 1 GROUP BY bucket",
     # incidents, severity and duration (H-08, H-12), KPIs (D-17)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.plans import catalogue, jobs, monitoring, retrieval
+from quillspark.plans import catalogue, jobs, monitoring, retrieval, skills
 from quillspark.streaming import health
 
-MODULES: tuple = (catalogue, monitoring, jobs, retrieval, health)
+MODULES: tuple = (catalogue, monitoring, jobs, retrieval, skills, health)
 
 
 def queries() -> dict:

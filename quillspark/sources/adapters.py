@@ -45,9 +45,6 @@ JOBS = """jobs AS (SELECT o_orderkey AS id, c_name AS company, o_orderpriority A
     CASE o_orderkey % 6 WHEN 0 THEN 'wishlist' WHEN 1 THEN 'applied' WHEN 2 THEN 'followup' WHEN 3 THEN 'interview' WHEN 4 THEN 'offer' ELSE 'rejected' END AS status
     FROM {orders} JOIN {customer} ON o_custkey = c_custkey)"""
 
-SKILLS = """skills AS (SELECT source || '-' || cast(d.doc_id AS varchar(20)) AS name, source AS pack, lang AS phase, substr(text, 1, 120) AS description, text AS body, coalesce(l.quality, 0) AS quality
-    FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id)"""
-
 _NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

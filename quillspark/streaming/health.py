@@ -5,20 +5,13 @@ Results go to Parquet in the shared folder, exactly once by checkpoint, and are
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.scratch import scratch_path
 from quillspark.sources.tables import table
 
 
-def _shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
-    return f"{folder.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream with a proper event time (the files hold times without a zone)."""
     schema = table(spark, sf_dir, "events").schema
@@ -28,7 +21,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a streaming DataFrame over what is there now and returns the rows it wrote."""
-    spark, base = stream.sparkSession, _shared(stream.sparkSession)
+    spark, base = stream.sparkSession, scratch_path(stream.sparkSession)
     if mode == "append":
         query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         query.awaitTermination()

@@ -1,7 +1,11 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark import registry
+from quillspark.operators import ranking
 from quillspark.operators.chunking import chunk_documents, clean_glyphs, normalise_space, pack, reflow
 from quillspark.sources import files
 from tests.oracle import connect, same_rows
@@ -25,25 +29,59 @@ def test_queries_without_sql_agree_with_themselves(spark, name):
     assert once and sorted(once) == sorted(again)
 
 
-def test_related_equals_pairs_of_all(spark):
-    """Skills that share a rare word, by comparing every pair in Python."""
-    from quillspark.plans.retrieval import STOP_WORDS, _TOKEN  # noqa: PLC0415
-    import re  # noqa: PLC0415
-
-    rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
-    sets = {f"{r.source}-{r.doc_id}": (r.source, {t for t in re.findall(_TOKEN, r.text[:120].lower()) if t not in STOP_WORDS}) for r in rows}
-    df: dict = {}
-    for _, s in sets.values():
-        for t in s:
-            df[t] = df.get(t, 0) + 1
-    wanted = set()
-    for x, (px, sx) in sets.items():
-        for y, (py, sy) in sets.items():
-            if x < y and any(df[t] <= 40 for t in sx & sy):
-                wanted.add((x, y, round(0.5 * (px == py) + len(sx & sy) / len(sx | sy), 5)))
-    got = {(r.x, r.y, round(r.score, 5)) for r in registry.queries()["s3_related"](spark, SMALL).collect()}
-    assert {w[:2] for w in wanted} == {g[:2] for g in got}
-    assert all(abs(dict(((a, b), c) for a, b, c in wanted)[g[:2]] - g[2]) < 2e-5 for g in got)
+@pytest.fixture(scope="module")
+def lists(spark):
+    """Two rankings with many ties, a third of all rows under one item, and items that only one of them has."""
+    rng = random.Random(3)
+    keyword = [(i % 3 if i % 2 else 0, d, float(rng.randint(0, 400))) for i in range(2) for d in range(700)] + [(7, d, 1.0) for d in range(5)]
+    keyword = list({(i, d): (i, d, x) for i, d, x in keyword}.values())
+    vector = [(i, d, rng.randint(0, 50) / 50) for i in (0, 9) for d in range(300, 900)]
+    return [spark.createDataFrame(x, "item_id long, doc_id long, score double") for x in (keyword, vector)]
+
+
+def brute_ranks(rows):
+    out, seen = {}, {}
+    for item, doc, _ in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        seen[item] = seen.get(item, 0) + 1
+        out[item, doc] = seen[item]
+    return out
+
+
+def test_counted_ranks_equal_sorted_ones(spark, lists):
+    ranks = brute_ranks([tuple(r) for r in lists[0].collect()])
+    wanted = [k for k in ranks if k[1] % 37 == 0]
+    got = ranking.counted_ranks(lists[0], spark.createDataFrame(wanted, "item_id long, doc_id long")).collect()
+    assert {(r.item_id, r.doc_id): r.rnk for r in got} == {k: ranks[k] for k in wanted}
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_fusion_of_heads_equals_fusion_of_all(lists, k):
+    a, b = (brute_ranks([tuple(r) for r in x.collect()]) for x in lists)
+    fused = {}
+    for key in a.keys() | b.keys():
+        score = math.floor((1 / (60 + a[key] if key in a else math.inf) + 1 / (60 + b[key] if key in b else math.inf)) * 1e6 + 0.5) / 1e6
+        fused.setdefault(key[0], []).append((-score, a.get(key, math.inf), b.get(key, math.inf), key[1]))
+    wanted = {(i, x[3], n + 1) for i, rows in fused.items() for n, x in enumerate(sorted(rows)[:k])}
+    assert {(r.item_id, r.doc_id, r.rnk) for r in ranking.fused_top(*lists, k).collect()} == wanted
+
+
+def test_sorted_ranks_of_hot_groups(spark):
+    rows = [(None if i % 3 == 0 else "abc"[i % 2], i * 7919 % 1000, i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, x long, id long")
+    order = [F.desc("x"), F.asc("id")]
+    everywhere = sorted(rows, key=lambda r: (-r[1], r[2]))
+    assert [r.id for r in sorted(ranking.sorted_ranks(df, order).collect(), key=lambda r: r.rnk)] == [r[2] for r in everywhere]
+    got = {r.id: r.rnk for r in ranking.sorted_ranks(df, order, group="g").collect()}
+    for g in (None, "a", "b"):
+        assert [got[r[2]] for r in everywhere if r[0] == g] == list(range(1, sum(r[0] == g for r in rows) + 1))
+    assert ranking.sorted_ranks(df.limit(0), order).count() == 0
+
+
+def test_blocks_answer_every_query_once(spark):
+    data = spark.range(50)
+    answer = lambda block: data.join(block, F.col("id") == F.col("q"))
+    got = ranking.in_blocks(spark.range(40).withColumnRenamed("id", "q"), F.lit(8), answer, limit=64)
+    assert sorted(r.q for r in got.collect()) == list(range(40))
 
 
 def test_reflow_joins_lines_and_drops_page_marks(spark):
