@@ -10,7 +10,13 @@ repeats, and chance repeats of an anchor) are the fragments themselves compared,
 Burrows-Wheeler transform is extended backwards breadth-first, which finds the places where the common prefix of
 neighbouring suffixes ends at length 0, 1, 2 ... and stops at 50; suffixes between two such places share 50 bytes.
 
-An anchor that many documents share sends one row for each input batch and distinct fragment, not one for each document.
+An anchor that many documents share sends one row for each input slice and distinct fragment, not one for each document.
+
+The number of parts and buckets follows the bytes counted. An anchor with very many different surroundings (the edge of
+a passage that a third of all documents hold) would still make one part, and one bucket, as large as the input allows.
+Such anchors are looked for on a sample, and fragments around them are dealt by the hash of each of their 50-byte
+windows instead, which has no hot group: equal windows are settled by the smallest id, first inside a slice, then over
+the cluster. The sample decides which of the two ways a fragment takes, not what is found; both are exact.
 """
 
 from __future__ import annotations
@@ -24,24 +30,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, mix64, table, utf8_buffers
+from quillspark.llm.common import materialize, mix64, slices, table, utf8_buffers
 
 LENGTH, ANCHOR = 50, 28
 #: Window starts looked at together, and bytes of fragments compared together.
 CHUNK, BUCKET = 1 << 20, 1 << 20
+#: Bytes of text read at a time, and for each part of the shuffle.
+SLICE_BYTES, PART_BYTES = 1 << 24, 1 << 24
+#: One in so many texts is looked at for hot anchors; the share of a part's fragments, and their least number, that make
+#: an anchor hot; most such anchors.
+SAMPLE, HOT_SHARE, HOT, MOST_HOT = 16, 0.125, 1024, 1_000_000
+#: Bytes of text for each fragment, about.
+STRIDE = 12
 BASE = 0x9E3779B97F4A7C15
 LAST = np.iinfo(np.int64).max
 
 _ANCHORS = "part int, ids array<long>, ths array<long>, counts array<int>, starts array<int>, more array<tinyint>, anchors array<int>, low array<int>, high array<smallint>, spans array<int>"
-_FOUND = "id long, th long, starts array<int>, more array<int>, anchors array<long>"
+_FOUND = "id long, th long, starts array<int>, more array<int>, open_starts array<int>, open_more array<int>, anchors array<long>"
 
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(BASE, n, 1 << 64))
 
 
-def _fragments(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """doc, first window, windows after it, anchor hash, fragment hash of all fragments of the rows, in order."""
+def _fragments(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """doc, first window, windows after it, anchor hash, fragment hash, single (False) of all fragments of the rows.
+
+    Instead of a fragment whose anchor is among `hot` (sorted) come its windows, one by one, each its own anchor (single).
+    """
     owner_ends = bounds[1:]
     for at in range(0, max(len(data) - LENGTH + 1, 0), CHUNK):
         text = data[at : at + CHUNK + LENGTH - 1].astype(np.uint64)
@@ -79,9 +95,19 @@ def _fragments(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarra
             whole = (h16[s] * _power(16) + h16[s + 16]) * _power(16) + h16[s + 32]
             return whole * _power(2) + h2[s + 48]
 
+        own = anchors[place[begins]]
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+            if is_hot.any():
+                first, many = begins[is_hot], (finish - begins + 1)[is_hot]
+                each = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                docs = np.searchsorted(owner_ends, each + at, "right")
+                key = mix64(window(each) * np.uint64(0xD1B54A32D192ED03) + np.uint64(LENGTH))
+                yield docs, each + at - bounds[docs], np.zeros(len(each), np.int64), key, key, np.ones(len(each), bool)
+                begins, finish, own = begins[~is_hot], finish[~is_hot], own[~is_hot]
         same = mix64(mix64(window(begins)) + window(finish) * np.uint64(0xD1B54A32D192ED03) + (finish - begins).astype(np.uint64))
         docs = np.searchsorted(owner_ends, begins + at, "right")
-        yield docs, begins + at - bounds[docs], finish - begins, anchors[place[begins]], same
+        yield docs, begins + at - bounds[docs], finish - begins, own, same, np.zeros(len(docs), bool)
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -99,50 +125,86 @@ def _merged(docs: np.ndarray, starts: np.ndarray, more: np.ndarray) -> tuple[np.
     return docs[at], starts[at], np.maximum.reduceat(ends, at) - starts[at]
 
 
-def _anchor_rows(source: DataFrame, parts: int) -> DataFrame:
-    """For each input batch and part, the anchors in it; copies inside the batch are settled at once."""
+def _hot_anchors(source: DataFrame, part_bytes: float) -> np.ndarray:
+    """Anchors whose different fragments are HOT_SHARE of a part or more, as a sample of the texts has it, sorted.
+
+    What comes to the driver is at most eight megabytes (MOST_HOT); if more anchors are hot, the hottest are taken.
+    """
+    none = np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, data = utf8_buffers(batch.column(0))
+            for a, b in slices(bounds, SLICE_BYTES):
+                for _, _, _, anchors, same, _ in _fragments(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], none):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (anchors, same)], names=["anchor", "same"])
+
+    seen = source.where(F.pmod("th", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "anchor long, same long")
+    sizes = materialize(seen.distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE >= max(HOT, HOT_SHARE * part_bytes / STRIDE)))
+    levels = sorted(((r.level, r.anchors) for r in sizes.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("anchors")).collect()), reverse=True)
+    least, total = None, 0
+    for level, anchors in levels:
+        total += anchors
+        if total > MOST_HOT:
+            break
+        least = level
+    if least is None:
+        return none
+    return np.sort(np.array([r.anchor for r in sizes.where(F.col("n") >= 2**least).select("anchor").collect()], np.int64).view(np.uint64))
+
+
+def _anchor_rows(source: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """For each input slice and part, the anchors in it; copies inside the slice are settled at once.
+
+    Parts from `parts` on hold single windows.
+    """
+    shared = source.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bounds, data = utf8_buffers(batch.column(2))
             ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            pieces = list(_fragments(data, bounds))
-            if not pieces:
-                continue
-            docs, starts, more, anchors, same = (np.concatenate(x) for x in zip(*pieces, strict=True))
-            del pieces
-            order = np.lexsort((ids[docs], same))
-            head = np.concatenate(([True], same[order][1:] != same[order][:-1]))
-            least = np.empty(len(order), np.int64)
-            least[order] = ids[docs[order]][np.flatnonzero(head)[np.cumsum(head) - 1]]
-            later = ids[docs] > least
-            yield from _settled_rows(ids, ths, *_merged(docs[later], starts[later], more[later]), parts)
-            docs, starts, more, anchors, same = (x[~later] for x in (docs, starts, more, anchors, same))
-            part = (anchors % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, docs, starts, more, anchors, same = (x[order] for x in (part, docs, starts, more, anchors, same))
-            numbers = np.flatnonzero(np.bincount(part, minlength=parts))
-            offsets = np.concatenate((np.searchsorted(part, numbers), [len(part)]))
-            runs = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (part[1:] != part[:-1]))))
-            run_offsets = np.searchsorted(runs, offsets)
-            counts = np.diff(np.concatenate((runs, [len(part)])))
-            own = docs[runs]
-            top = anchors >> np.uint64(32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(numbers, pa.int32()),
-                    _lists(ids[own], run_offsets, pa.int64()),
-                    _lists(ths[own], run_offsets, pa.int64()),
-                    _lists(counts, run_offsets, pa.int32()),
-                    _lists(starts, offsets, pa.int32()),
-                    _lists(more, offsets, pa.int8()),
-                    _lists(top.astype(np.uint32).view(np.int32), offsets, pa.int32()),
-                    _lists((same & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), offsets, pa.int32()),
-                    _lists((same >> np.uint64(48)).astype(np.uint16).view(np.int16), offsets, pa.int16()),
-                    _lists(np.zeros(0, np.int32), np.zeros(len(numbers) + 1), pa.int32()),
-                ],
-                names=[x.split()[0] for x in _ANCHORS.split(", ")],
-            )
+            for a, b in slices(bounds, SLICE_BYTES):
+                yield from rows_of(ids[a:b], ths[a:b], data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+
+    def rows_of(ids: np.ndarray, ths: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pieces = list(_fragments(data, bounds, shared.value))
+        if not pieces:
+            return
+        docs, starts, more, anchors, same, single = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        del pieces
+        order = np.lexsort((ids[docs], same))
+        head = np.concatenate(([True], same[order][1:] != same[order][:-1]))
+        least = np.empty(len(order), np.int64)
+        least[order] = ids[docs[order]][np.flatnonzero(head)[np.cumsum(head) - 1]]
+        later = ids[docs] > least
+        yield from _settled_rows(ids, ths, *_merged(docs[later], starts[later], more[later]), parts)
+        docs, starts, more, anchors, same, single = (x[~later] for x in (docs, starts, more, anchors, same, single))
+        part = (anchors % np.uint64(parts)).astype(np.int64) + parts * single
+        order = np.lexsort((docs, part))
+        part, docs, starts, more, anchors, same = (x[order] for x in (part, docs, starts, more, anchors, same))
+        numbers = part[np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))]
+        offsets = np.concatenate((np.searchsorted(part, numbers), [len(part)]))
+        runs = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (part[1:] != part[:-1]))))
+        run_offsets = np.searchsorted(runs, offsets)
+        counts = np.diff(np.concatenate((runs, [len(part)])))
+        own = docs[runs]
+        top = anchors >> np.uint64(32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(numbers, pa.int32()),
+                _lists(ids[own], run_offsets, pa.int64()),
+                _lists(ths[own], run_offsets, pa.int64()),
+                _lists(counts, run_offsets, pa.int32()),
+                _lists(starts, offsets, pa.int32()),
+                _lists(more, offsets, pa.int8()),
+                _lists(top.astype(np.uint32).view(np.int32), offsets, pa.int32()),
+                _lists((same & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), offsets, pa.int32()),
+                _lists((same >> np.uint64(48)).astype(np.uint16).view(np.int16), offsets, pa.int16()),
+                _lists(np.zeros(0, np.int32), np.zeros(len(numbers) + 1), pa.int32()),
+            ],
+            names=[x.split()[0] for x in _ANCHORS.split(", ")],
+        )
 
     return source.mapInArrow(run, _ANCHORS)
 
@@ -155,7 +217,7 @@ def _settled_rows(ids: np.ndarray, ths: np.ndarray, docs: np.ndarray, starts: np
         empty = np.zeros(0, np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array((ths[own].view(np.uint64) % np.uint64(parts)).astype(np.int32)),
+                pa.array((mix64(ids[own].view(np.uint64) ^ ths[own].view(np.uint64)) % np.uint64(parts)).astype(np.int32)),
                 _lists(ids[own], ones, pa.int64()),
                 _lists(ths[own], ones, pa.int64()),
                 _lists(np.diff(offsets), ones, pa.int32()),
@@ -167,11 +229,15 @@ def _settled_rows(ids: np.ndarray, ths: np.ndarray, docs: np.ndarray, starts: np
         )
 
 
-def _settle(part: pa.Table) -> pa.Table:
-    """What a part's fragment hashes settle, and the fragments that have to be compared (those with anchors)."""
+def _settle(part: pa.Table, parts: int) -> pa.Table:
+    """For each document in a part, what fragment hashes settle (starts, more) and the fragments that have to be compared.
+
+    Single windows (parts from `parts` on) are settled by their hash alone.
+    """
     settled = part.filter(pc.greater(pc.list_value_length(part["spans"]), 0))
     open_ = part.filter(pc.equal(pc.list_value_length(part["spans"]), 0))
-    out = [(pc.list_flatten(settled["ids"]), pc.list_flatten(settled["ths"]), settled["starts"], settled["spans"], None)]
+    empty = _lists(np.zeros(0, np.int32), np.zeros(len(settled) + 1), pa.int32())
+    out = [[pc.list_flatten(settled["ids"]), pc.list_flatten(settled["ths"]), settled["starts"], settled["spans"], empty, empty, empty.cast(pa.list_(pa.int64()))]]
     flat = {x: pc.list_flatten(open_[x]).to_numpy() for x in ("ids", "ths", "counts", "starts", "more", "anchors", "low", "high")}
     ids, ths = np.repeat(flat["ids"], flat["counts"]), np.repeat(flat["ths"], flat["counts"])
     starts, more, anchors = flat["starts"], flat["more"].astype(np.int32), flat["anchors"]
@@ -186,21 +252,23 @@ def _settle(part: pa.Table) -> pa.Table:
         begins = np.flatnonzero(group)
         kept_ids = np.where(later, ids[begins][np.cumsum(group) - 1], ids)
         several = np.minimum.reduceat(kept_ids, begins) < np.maximum.reduceat(kept_ids, begins)
-        contested = ~later & several[np.cumsum(group) - 1]
         number = int(part["part"][0].as_py())
-        for chosen, keys in ((later, None), (contested, (anchors.astype(np.int64) & 0xFFFFFFFF) | number << 32)):
-            at = np.flatnonzero(chosen)
-            at = at[np.lexsort((starts[at], ths[at], ids[at]))]
-            if len(at):
-                heads = np.flatnonzero(np.concatenate(([True], (ids[at][1:] != ids[at][:-1]) | (ths[at][1:] != ths[at][:-1]))))
-                offsets = np.concatenate((heads, [len(at)]))
-                lists = None if keys is None else _lists(keys[at], offsets, pa.int64())
-                out.append((pa.array(ids[at][heads]), pa.array(ths[at][heads]), _lists(starts[at], offsets, pa.int32()), _lists(more[at], offsets, pa.int32()), lists))
-    names, tables = ["id", "th", "starts", "more", "anchors"], []
-    for a, b, c, d, e in out:
-        e = pa.nulls(len(a), pa.list_(pa.int64())) if e is None else e
-        tables.append(pa.table([a, b, c, d, e], names=names))
-    return pa.concat_tables([t.cast(pa.schema([("id", pa.int64()), ("th", pa.int64()), ("starts", pa.list_(pa.int32())), ("more", pa.list_(pa.int32())), ("anchors", pa.list_(pa.int64()))])) for t in tables])
+        contested = ~later & several[np.cumsum(group) - 1] & (number < parts)
+        at = np.flatnonzero(later | contested)
+        at = at[np.lexsort((starts[at], ths[at], ids[at]))]
+        if len(at):
+            heads = np.concatenate(([True], (ids[at][1:] != ids[at][:-1]) | (ths[at][1:] != ths[at][:-1])))
+            row, docs = np.cumsum(heads) - 1, at[heads]
+            numbered = np.arange(len(docs) + 1)
+            lists = []
+            for chosen, columns in ((later, ((starts, pa.int32()), (more, pa.int32()))), (contested, ((starts, pa.int32()), (more, pa.int32()), ((anchors.astype(np.int64) & 0xFFFFFFFF) | number << 32, pa.int64())))):
+                own = chosen[at]
+                offsets = np.searchsorted(row[own], numbered)
+                lists += [_lists(values[at[own]], offsets, kind) for values, kind in columns]
+            out.append([pa.array(ids[docs]), pa.array(ths[docs]), *lists])
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.int64())]
+    schema = pa.schema([(x.split()[0], kind) for x, kind in zip(_FOUND.split(", "), kinds, strict=True)])
+    return pa.concat_tables([pa.table(columns, names=schema.names).cast(schema) for columns in out])
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -324,7 +392,7 @@ def _pieces(contested: DataFrame, packed: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["anchor", "id", "th", "start", "piece"])
 
-    found = contested.groupBy("id", "th").agg(*[F.flatten(F.collect_list(x)).alias(x) for x in ("starts", "more", "anchors")])
+    found = contested.groupBy("id", "th").agg(*[F.flatten(F.collect_list(x)).alias(y) for x, y in (("open_starts", "starts"), ("open_more", "more"), ("anchors", "anchors"))])
     joined = packed.dropDuplicates(["id", "th"]).join(found, ["id", "th"])
     return joined.select("id", "th", "n_bytes", "packed", "starts", "more", "anchors").mapInArrow(run, "anchor long, id long, th long, start int, piece binary")
 
@@ -339,14 +407,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A run starts at byte `start` and has `more` windows after the first; runs of one document may touch.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = _source(docs, id_col, text_col)
-    found = materialize(_anchor_rows(source, parts).groupBy("part").applyInArrow(_settle, _FOUND))
-    pieces = _pieces(found.where("anchors is not null"), _packed(source))
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(parts)).alias("bucket")
-    compared = pieces.select(bucket, "*").groupBy("bucket").applyInArrow(_compare, "id long, th long, starts array<int>, more array<int>")
-    return found.where("anchors is null").drop("anchors").unionByName(compared)
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    dealt = _anchor_rows(source, parts, _hot_anchors(source, size / parts)).repartition(parts, "part")
+    found = materialize(dealt.groupBy("part").applyInArrow(lambda part: _settle(part, parts), _FOUND))
+    pieces = _pieces(found.where("size(anchors) > 0"), _packed(source))
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(8 * parts)).alias("bucket")  # more than tasks, to even them out
+    compared = pieces.select(bucket, "*").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_compare, "id long, th long, starts array<int>, more array<int>")
+    return found.where("size(starts) > 0").select("id", "th", "starts", "more").unionByName(compared)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,6 +96,24 @@ def test_substrings(spark, docs, odd):
     assert substrings.remove_repeats(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_substrings_around_a_common_passage(spark, docs, monkeypatch, hot):
+    """A passage in a third of all texts, its surroundings all different, by either way."""
+    if hot:
+        monkeypatch.setattr(substrings, "SAMPLE", 1)
+        monkeypatch.setattr(substrings, "HOT", 5)
+        monkeypatch.setattr(substrings, "HOT_SHARE", 0)
+    passage = "This very common passage of more than fifty bytes stands in a third of all documents. " * 2
+    rows = [(r.doc_id, (f"{r.doc_id}{passage}{r.doc_id % 7}" + (r.text or "")) if r.doc_id % 3 == 0 else r.text) for r in docs.collect()]
+    rows += [(1000 + i, passage + "x" * i) for i in range(8)] + [(2000, passage[:60]), (2001, passage[7:56]), (None, passage[3:99])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    if hot:
+        assert len(substrings._hot_anchors(substrings._source(frame, "doc_id", "text"), 500)) > 3
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substrings.remove_repeats(frame).collect()]
+    wanted = substrings.brute_force([(1 << 62 if i is None else i, t) for i, t in rows])
+    assert sorted(got, key=str) == sorted([(None if i == 1 << 62 else i, *rest) for i, *rest in wanted], key=str)
+
+
 def brute_lines(rows, k=8, least=10):
     lines = [(i, n, x.strip(" ")) for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= least]
     forms = sorted({x for *_, x in lines})
