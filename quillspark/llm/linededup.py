@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import broadcast_if_small, materialize, mix64, slices, small_batches, table, utf8_buffers
@@ -83,7 +84,7 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray, bands:
 
 
 def _signed(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """h, id, line_no, keys (an array of band keys; empty for lines shorter than a shingle)."""
+    """h, id, line_no, chars (of the form), keys (an array of band keys; empty for lines shorter than a shingle)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,10 +101,11 @@ def _signed(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             sizes = np.where(full, bands, 0)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[full].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), keys], names=["h", "id", "line_no", "keys"])
+            chars = pc.utf8_length(batch.column(3)).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), chars, keys], names=["h", "id", "line_no", "chars", "keys"])
 
     id_type = lines.schema["id"].dataType.simpleString()
-    return lines.select("h", "id", "line_no", "form").mapInArrow(run, f"h long, id {id_type}, line_no int, keys array<long>")
+    return lines.select("h", "id", "line_no", "form").mapInArrow(run, f"h long, id {id_type}, line_no int, chars int, keys array<long>")
 
 
 def jaccard(a: str, b: str, k: int) -> float:
@@ -148,15 +150,15 @@ def _verified(pairs: DataFrame, forms: DataFrame, k: int, threshold: float) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
-def _unlike(rows: DataFrame, k: int, threshold: float) -> DataFrame:
+def _unlike(members: DataFrame, k: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """Links (a, b) between members of a bucket block whose components differ; enough to connect them, not all pairs.
 
-    rows: key, lo, hi, block, h, c, form. Rows of one key, lo and hi meet in one task as a run of a sorted stream. A
-    pair is compared only while its components are not yet connected within the run. Shingles are told apart by their
-    64-bit hash.
+    members: key, lo, hi, block, h, c, form. Rows of one key, lo and hi meet in one task as a run of a sorted stream.
+    A pair is compared only while its components are not yet connected within the run, and only in the bucket of the
+    first band that it shares. Shingles are told apart by their 64-bit hash.
     """
 
-    def links(group: list[tuple], lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    def links(group: list[tuple], key: int, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         parent: dict[int, int] = {}
         sets: dict[int, tuple[set[int], list[list[int]]]] = {}
 
@@ -186,11 +188,19 @@ def _unlike(rows: DataFrame, k: int, threshold: float) -> DataFrame:
                 seen += len(part)
             return both >= threshold * (n + m - both)
 
-        for i, (block, h, c, _) in enumerate(group):
+        keys = np.stack([member[4] for member in group])
+        band = int(np.flatnonzero(keys[0] == key)[0])
+        blocks, labels = np.array([member[0] for member in group]), np.array([member[2] for member in group])
+        for i, (block, h, c, _, own) in enumerate(group):
+            open_ = labels[:i] != c
+            if lo != hi:
+                open_ &= blocks[:i] != block
+            if band:
+                open_ &= (keys[:i, :band] != own[:band]).all(axis=1)
+            if not open_.any():
+                continue
             root = find(c)
-            for j in range(i):
-                if lo != hi and group[j][0] == block:
-                    continue
+            for j in np.flatnonzero(open_).tolist():
                 other = find(group[j][2])
                 if other != root and alike(i, j):
                     parent[other] = root
@@ -204,17 +214,18 @@ def _unlike(rows: DataFrame, k: int, threshold: float) -> DataFrame:
             points, at = _points(data, bounds)
             hashes, counts = shingle_hashes(points, at, k)
             forms = [hashes[i : i + n] for i, n in zip(at[:-1].tolist(), counts.tolist(), strict=True)]
-            for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns[:6]), forms, strict=True):
+            keys = band_keys(hashes, at[:-1], counts, bands, rows).view(np.int64) if len(counts) else ()
+            for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns[:6]), forms, keys, strict=True):
                 if (key, lo, hi) != head:
                     if len(group) > 1:
-                        out += links(group, head[1], head[2])
+                        out += links(group, *head)
                     head, group = (key, lo, hi), []
                 group.append(tuple(row))
             yield _pairs(out)
         if len(group) > 1:
-            yield _pairs(list(links(group, head[1], head[2])))
+            yield _pairs(list(links(group, *head)))
 
-    dealt = rows.select("key", "lo", "hi", "block", "h", "c", "form").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "h")
+    dealt = members.select("key", "lo", "hi", "block", "h", "c", "form").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "h")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -223,42 +234,44 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def line_groups(lines: DataFrame, signed: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+def line_groups(lines: DataFrame, signed: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """h, keep_id, keep_line for every form that occurs twice or has a near-duplicate (materialised).
 
     signed: what _signed makes of lines, materialised.
 
     Bucket members are first compared with the bucket's smallest hash, which settles most copies at one comparison
-    each. Buckets whose members are still in different components are then looked into: large ones in pairs of blocks
-    of bounded rows and bytes, each pair of blocks in a task of its own. No link between components is left out.
+    each, and all pairs of a bucket of two. Buckets whose other members are still in different components are then
+    looked into: large ones in pairs of blocks of bounded rows and bytes, each pair of blocks in a task of its own. No
+    link between components is left out.
     """
-    unique = materialize(signed.groupBy("h").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")))
-    bucket = Window.partitionBy("key")
-    index = unique.select("h", F.explode("keys").alias("key"))
-    crowded = materialize(index.select("key", "h", F.min("h").over(bucket).alias("hub"), F.max("h").over(bucket).alias("last")).where("hub <> last").drop("last"))
+    unique = materialize(signed.groupBy("h").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("n"), F.first("chars").alias("chars"), F.first("keys").alias("keys")))
+    index = unique.select("h", "chars", F.explode("keys").alias("key"))
+    hubs = materialize(index.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("last")).where("hub <> last").drop("last"))
+    crowded = materialize(index.join(broadcast_if_small(hubs), "key"))
     needed = materialize(crowded.select("h").distinct())
     forms = materialize(lines.select("h", "form").join(broadcast_if_small(needed), "h", "left_semi").groupBy("h").agg(F.first("form").alias("form")))
     pairs = crowded.where("h <> hub").select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(_verified(pairs, forms, k, threshold))
     first = materialize(connected_components(links, rough_rounds=1))
-    labelled = crowded.join(first.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("c"))
-    split = labelled.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).where("low <> high")
-    sized = split.select("key", "h", "c").join(forms, "h")
-    sized = sized.withColumn("blocks", F.ceil(F.greatest(F.count("*").over(bucket) / BLOCK_ROWS, F.sum(F.length("form")).over(bucket) / BLOCK_CHARS)).cast("int"))
+    rest = crowded.where("h <> hub").drop("hub")  # a bucket's hub has been compared with all its members
+    labelled = materialize(rest.join(broadcast_if_small(first.withColumnRenamed("node", "h")), "h", "left").select("key", "h", "chars", F.coalesce("component", "h").alias("c")))
+    size = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("chars") / BLOCK_CHARS)).cast("int")
+    split = materialize(labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), size.alias("blocks")).where("low <> high").select("key", "blocks"))
+    sized = labelled.join(broadcast_if_small(split), "key").join(forms, "h")
     sized = sized.withColumn("block", F.pmod("h", "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    more = _unlike(sized.select("*", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")), k, threshold)
+    more = _unlike(sized.select("*", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")), k, threshold, bands, rows)
     groups = materialize(connected_components(links.unionByName(more)))
     named = unique.select("h", "at", "n").join(groups.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or component is not null")
     named = named.withColumn("component", F.coalesce("component", "h"))
-    keepers = named.groupBy("component").agg(F.min("at").alias("keep"))
-    return materialize(named.join(keepers, "component").select("h", F.col("keep.id").alias("keep_id"), F.col("keep.line_no").alias("keep_line")))
+    keepers = materialize(named.groupBy("component").agg(F.min("at").alias("keep")))
+    return materialize(named.join(broadcast_if_small(keepers), "component").select("h", F.col("keep.id").alias("keep_id"), F.col("keep.line_no").alias("keep_line")))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, removed: for each document that loses lines, their numbers and hashes (an array of structs)."""
     lines = lines_of(docs, id_col, text_col, min_chars)
     signed = materialize(_signed(lines, k, bands, rows))
-    groups = line_groups(lines, signed, k, threshold)
+    groups = line_groups(lines, signed, k, threshold, bands, rows)
     lost = signed.select("id", "line_no", "h").join(broadcast_if_small(groups), "h").where("not (id <=> keep_id and line_no = keep_line)")
     return lost.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("line_no", "h"))).alias("removed"))
 
