@@ -207,50 +207,78 @@ def _runs(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return blocks, (np.cumsum(sizes) - sizes)[own] + nth * step, own
 
 
+def _item_blocks(spark: SparkSession, items: DataFrame, item_id_col: str, item_text_col: str, threshold: float, width: int, functions: int) -> Iterator:
+    """Broadcast indexes of the items, a block of at most BLOCK_BYTES each; only one block at a time is on the driver."""
+    small = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
+    total = small.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    blocks = 1 if total <= BLOCK_BYTES else -(-2 * total // BLOCK_BYTES)
+    for block in range(blocks):
+        own = small.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else small
+        rows = own.collect()
+        yield spark.sparkContext.broadcast(ItemIndex.of([r.item_id for r in rows], [r.text for r in rows], functions, width, threshold))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, functions: int = FUNCTIONS) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment for every document that contains an item.
 
     Only a block of items of at most BLOCK_BYTES comes to the driver and is sent to the executors at a time; the
     documents are not shuffled.
     """
-    spark = docs.sparkSession
-    small = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
-    total = small.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = 1 if total <= BLOCK_BYTES else -(-2 * total // BLOCK_BYTES)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_types = source.schema["doc_id"].dataType.simpleString(), small.schema["item_id"].dataType.simpleString()
+    id_types = source.schema["doc_id"].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     found = None
-    for block in range(blocks):
-        own = small.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else small
-        rows = own.collect()
-        index = spark.sparkContext.broadcast(ItemIndex.of([r.item_id for r in rows], [r.text for r in rows], functions, width, threshold))
+    for index in _item_blocks(docs.sparkSession, items, item_id_col, item_text_col, threshold, width, functions):
         part = source.mapInArrow(_searcher(index, threshold, width, functions), f"doc_id {id_types[0]}, item_id {id_types[1]}, n_shared long, n_item long, containment double")
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, functions: int = FUNCTIONS) -> DataFrame:
+    """The rows of docs that contain no item, with all their columns; rows are judged where they are, without a shuffle."""
+    place = docs.columns.index(text_col)
+    for index in _item_blocks(docs.sparkSession, items, item_id_col, item_text_col, threshold, width, functions):
+        docs = docs.mapInArrow(_sieve(index, place, threshold, width, functions), docs.schema)
+    return docs
+
+
+def _hits(known: ItemIndex, column: pa.Array, threshold: float, width: int, functions: int) -> tuple[list[int], list[int], list[int]]:
+    """Rows of a text column, items they contain, and how many shingles they share."""
+    bounds, data = utf8_buffers(column)
+    rows_out, items_out, shared_out = [], [], []
+    for a, b in slices(bounds, 1 << 19):
+        raw = data[bounds[a] : bounds[b]]
+        at = bounds[a : b + 1] - bounds[a]
+        hashes, rows = shingle_hashes(raw, at, width)
+        pairs = known.candidates(hashes, rows, b - a, functions)
+        last, own = -1, set()
+        for row, item in zip((pairs // max(1, len(known.ids))).tolist(), (pairs % max(1, len(known.ids))).tolist(), strict=True):
+            if row != last:
+                last, own = row, shingles(raw[at[row] : at[row + 1]].tobytes(), width)
+            wanted = known.shingles[item]
+            shared = sum(s in own for s in wanted)
+            if shared >= threshold * len(wanted):
+                rows_out.append(a + row)
+                items_out.append(item)
+                shared_out.append(shared)
+    return rows_out, items_out, shared_out
+
+
+def _sieve(index, place: int, threshold: float, width: int, functions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[_hits(index.value, batch.column(place), threshold, width, functions)[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def _searcher(index, threshold: float, width: int, functions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: ItemIndex = index.value
         item_type = pa.int64() if all(isinstance(x, int | None) for x in known.ids) else None
         for batch in batches:
-            bounds, data = utf8_buffers(batch.column(1))
-            rows_out, items_out, shared_out = [], [], []
-            for a, b in slices(bounds, 1 << 19):
-                raw = data[bounds[a] : bounds[b]]
-                at = bounds[a : b + 1] - bounds[a]
-                hashes, rows = shingle_hashes(raw, at, width)
-                pairs = known.candidates(hashes, rows, b - a, functions)
-                last, own = -1, set()
-                for row, item in zip((pairs // max(1, len(known.ids))).tolist(), (pairs % max(1, len(known.ids))).tolist(), strict=True):
-                    if row != last:
-                        last, own = row, shingles(raw[at[row] : at[row + 1]].tobytes(), width)
-                    wanted = known.shingles[item]
-                    shared = sum(s in own for s in wanted)
-                    if shared >= threshold * len(wanted):
-                        rows_out.append(a + row)
-                        items_out.append(item)
-                        shared_out.append(shared)
+            rows_out, items_out, shared_out = _hits(known, batch.column(1), threshold, width, functions)
             n_item = [len(known.shingles[i]) for i in items_out]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -273,15 +301,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item; other rows of the same id, or without one, stay.
-
-    A row is known by its id and a hash of its text.
-    """
+    """Drops documents that contain a benchmark item, row by row; other rows of the same id, or without one, stay."""
     small_batches(spark)
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
-    found = find_contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
-    hit = found.select(F.col("doc_id.doc_id").alias("_hit"), F.col("doc_id.h").alias("_hit_h")).distinct()
-    return docs.join(hit, F.expr("doc_id <=> _hit and xxhash64(text) = _hit_h"), "left_anti")
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op1_decontamination": op1_decontamination}
