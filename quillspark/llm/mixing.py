@@ -13,23 +13,26 @@ texts have size 0, the null source is a source of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import broadcast_if_small, materialize, table
 
 DIGITS, LEVELS, MOST = 3, 5, 3
 
 
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _digest(id_col: str) -> Column:
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.substring(F.md5(key.cast("binary")), 1, DIGITS * LEVELS)
+
+
 def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, digest (15 hex digits) for every row."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.substring(F.md5(key.cast("binary")), 1, DIGITS * LEVELS).alias("digest"),
-    )
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _digest(id_col).alias("digest"))
 
 
 def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
@@ -58,9 +61,11 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     return rated.select("source", "source_size", "weight", F.least(target, (most * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
-    sized = materialize(sizes_of(docs, id_col, text_col, source_col))
+def mix_rules(sized: DataFrame, most: int = MOST) -> DataFrame:
+    """A row for each source: source, source_size, target, whole, budget and, where a threshold is needed, edge and with_edge.
+
+    sized: what sizes_of returns, materialised.
+    """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(totals, most)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -86,11 +91,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     edges = done[0]
     for more in done[1:]:
         edges = edges.unionByName(more)
-    rules = plan.alias("p").join(edges.alias("e"), F.expr("p.source <=> e.source"), "left").select("p.*", "edge", "with_edge")
-    joined = sized.alias("s").join(rules.alias("r"), F.expr("s.source <=> r.source"))
-    lead = F.expr("substring(s.digest, 1, length(r.edge))")
+    return materialize(plan.alias("p").join(edges.alias("e"), F.expr("p.source <=> e.source"), "left").select("p.*", "edge", "with_edge"))
+
+
+def _copies(digest: str) -> Column:
+    """How often a row is taken, by its digest and the columns of mix_rules (as r)."""
+    lead = F.expr(f"substring({digest}, 1, length(r.edge))")
     extra = F.when(F.col("r.budget") <= 0, 0).when(F.col("r.edge").isNull(), 1).when(lead < F.col("r.edge"), 1).when((lead == F.col("r.edge")) & F.col("r.with_edge"), 1).otherwise(0)
-    copies = (F.col("r.whole") + extra).cast("long")
+    return (F.col("r.whole") + extra).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
+    sized = materialize(sizes_of(docs, id_col, text_col, source_col))
+    joined = sized.alias("s").join(broadcast_if_small(mix_rules(sized, most)).alias("r"), F.expr("s.source <=> r.source"))
+    copies = _copies("s.digest")
     return joined.select("s.doc_id", "s.source", "s.size", "r.source_size", "r.target", copies.alias("copies"), (copies * F.col("s.size")).alias("taken"))
 
 
@@ -100,12 +115,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, each row once, with copies (how often it is taken) and taken (its words times copies)."""
-    mixed = mix(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"), F.first("size").alias("_size"))
-    right = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    joined = docs.join(right, F.expr("doc_id <=> _id and source <=> _source")).where("copies > 0")
-    return joined.withColumn("taken", F.col("copies") * size.cast("long")).drop("_id", "_source")
+    """Documents that the mix takes, each row once, with copies (how often it is taken) and taken (its words times copies).
+
+    Texts stay where they are: only the rules, a row for each source, are joined to them.
+    """
+    rules = broadcast_if_small(mix_rules(materialize(sizes_of(docs))))
+    joined = docs.withColumn("_digest", _digest("doc_id")).alias("d").join(rules.alias("r"), F.expr("d.source <=> r.source"))
+    taken = joined.select("d.*", _copies("d._digest").alias("copies")).where("copies > 0")
+    return taken.withColumn("taken", F.col("copies") * _size("text")).drop("_digest")
 
 
 QUERIES = {"op8_mixing": op8_mixing}
