@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import broadcast_if_small, materialize
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60, rough_rounds: int | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60, rough_rounds: i
     stars = materialize(_ordered(links.select("a", "b")))
     if rough_rounds is not None:
         for _ in range(rough_rounds):
-            stars = _small_star(_large_star(stars))
+            stars = materialize(_small_star(_large_star(stars)))
         return stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     before = _state(stars)
     for _ in range(max_rounds):
@@ -45,12 +45,17 @@ def _ordered(links: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = _side(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
+def _side(least: DataFrame) -> DataFrame:
+    """A row for each node, written out: it is broadcast where small, and else Spark can split a hot node's links in the join."""
+    return broadcast_if_small(materialize(least))
+
+
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = _side(links.groupBy("a").agg(F.min("b").alias("m")))
     hung = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, slices, small_batches, table, utf8_buffers
+from quillspark.llm.common import broadcast_if_small, materialize, slices, small_batches, table, utf8_buffers
 from quillspark.llm.components import connected_components
 
 BITS = 64
@@ -105,8 +105,9 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, pieces: int | None = No
         count = fps.count()
         pieces = next(p for most, p in PIECES if count <= most)
     bucket = ["block", "wild", "rest"]
-    hub = F.min("fp").over(Window.partitionBy(*bucket))
-    stars = signatures(fps, distance, pieces).where("wild < 0").withColumn("hub", hub)
+    plain = signatures(fps, distance, pieces).where("wild < 0")
+    hubs = plain.groupBy(*bucket).agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub <> last").drop("last")
+    stars = plain.join(broadcast_if_small(materialize(hubs)), bucket)
     near = materialize(stars.where((F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), distance)).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
     first = materialize(connected_components(near, rough_rounds=1))
     labelled = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
@@ -151,9 +152,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates(docs.select(text_hash.alias("_h"), "text"), "_h").select(F.col("id").alias("_h"), F.col("component_id").alias("_group")).distinct()
     least = docs.where("doc_id is not null").groupBy(text_hash.alias("_h")).agg(F.min("doc_id").alias("_id"))
     keep = groups.join(least, "_h").groupBy("_group").agg(F.min(F.struct("_id", "_h")).alias("_keep")).select("_keep._id", "_keep._h")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("source", "lang"))
+    keep = broadcast_if_small(materialize(keep))
     kept = docs.join(keep, (F.col("doc_id") == F.col("_id")) & (text_hash == F.col("_h")))
-    return kept.withColumn("_rank", rank).where("_rank = 1").drop("_id", "_h", "_rank").unionByName(docs.where("doc_id is null"))
+    # texts are moved once more only where several rows have one id and one text
+    several = docs.groupBy("doc_id", text_hash.alias("_h")).agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null")
+    several = broadcast_if_small(materialize(several.select(F.col("doc_id").alias("_id"), "_h")))
+    rank = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("source", "lang"))
+    first = kept.join(several, ["_id", "_h"], "left_semi").withColumn("_rank", rank).where("_rank = 1")
+    parts = [kept.join(several, ["_id", "_h"], "left_anti"), first, docs.where("doc_id is null")]
+    return parts[0].select(docs.columns).unionByName(parts[1].select(docs.columns)).unionByName(parts[2])
 
 
 QUERIES = {"op2_simhash": op2_simhash}
