@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.plans import catalogue, jobs, monitoring, retrieval, skills
-from quillspark.streaming import health
+from quillspark.plans import catalogue, jobs, monitoring, normalise, retrieval, skills, textops
+from quillspark.streaming import health, incidents
 
-MODULES: tuple = (catalogue, monitoring, jobs, retrieval, skills, health)
+MODULES: tuple = (catalogue, monitoring, normalise, jobs, retrieval, textops, skills, health, incidents)
 
 
 def queries() -> dict:
