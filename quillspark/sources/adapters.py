@@ -37,7 +37,7 @@ INCIDENTS = (
     + """, flagged AS (SELECT *, CASE WHEN health = 'DOWN' THEN 1 ELSE 0 END AS down, row_number() OVER (PARTITION BY environment, service ORDER BY ts, event_id) AS rn,
     lead(ts) OVER (PARTITION BY environment, service ORDER BY ts, event_id) AS next_ts FROM checks),
 islands AS (SELECT *, rn - row_number() OVER (PARTITION BY environment, service, down ORDER BY ts, event_id) AS island FROM flagged),
-incidents AS (SELECT 'INC-' || cast(min(event_id) AS varchar(20)) AS incident_id, environment, service, min(ts) AS started, max(next_ts) AS recovered, count(*) AS failures, max(retry_count) AS retries,
+incidents AS (SELECT 'INC-' || cast(min(event_id) AS varchar(20)) AS incident_id, environment, service, min(ts) AS started, CASE WHEN count(next_ts) = count(*) THEN max(next_ts) END AS recovered, count(*) AS failures, max(retry_count) AS retries,
     CASE WHEN count(next_ts) < count(*) THEN 'OPEN' ELSE 'RESOLVED' END AS status FROM islands WHERE down = 1 GROUP BY environment, service, island)"""
 )
 

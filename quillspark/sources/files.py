@@ -28,6 +28,50 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return cases
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str, kind: str = "csv") -> DataFrame:
+    """An optional table: without rows, but with its columns, where the path does not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.format(kind).schema(schema).option("header", True).load(path)
+
+
+def unwrap(df: DataFrame, column: str, keys: tuple[str, ...], element: str) -> DataFrame:
+    """One row for each element of a JSON text that is an array, or an object with an array under the first of keys it has.
+
+    Texts that are neither give no row. element: the elements' type, as in "struct<id:string>".
+    """
+    text, kind = F.col(column), T._parse_datatype_string(f"array<{element}>")
+    wrapped = [F.from_json(text, T._parse_datatype_string(f"struct<`{k}`:array<{element}>>"))[k] for k in keys]
+    rows = F.when(text.rlike(r"^\s*\["), F.from_json(text, kind)).otherwise(F.coalesce(*wrapped))
+    return df.select(F.explode(rows).alias("_row")).select("_row.*")
+
+
+def checked_values(df: DataFrame, column: str, wanted: list[str]) -> list[str]:
+    """wanted, if the column has all of these values; an error names those that it has (a small domain is expected)."""
+    known = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1001).collect())
+    unknown = [w for w in wanted if w not in known]
+    if unknown:
+        raise ValueError(f"unknown {column}: {', '.join(unknown)}; known: {', '.join(known[:1000])}")
+    return wanted
+
+
+def delete_keys(old: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of old whose key is not among keys; write the result to another path than old's."""
+    return old.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def siblings(spark: SparkSession, folder: str, name: str = "SKILL.md") -> DataFrame:
+    """path of every file called name below folder, and the sorted names of the other files beside or below it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    parent = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
+    homes = files.where(F.col("path").endswith("/" + name)).select(F.col("path").alias("home"), parent.alias("at"))
+    steps = F.expr("filter(transform(sequence(1, size(split(path, '/')) - 1), n -> substring_index(path, '/', n)), p -> p <> '')")
+    others = files.where(~F.col("path").endswith("/" + name)).select("path", F.explode(steps).alias("at"))
+    beside = homes.join(others, "at", "left").groupBy("home", "at").agg(F.sort_array(F.collect_list(F.expr("substring(path, length(at) + 2)"))).alias("extra_files"))
+    return beside.select(F.col("home").alias("path"), "extra_files")
+
+
 def steps_of(steps: str = "Steps"):
     """The steps of a case without their numbers."""
     return F.transform(F.filter(F.split(F.col(steps), r" \| "), lambda s: F.trim(s) != ""), lambda s: F.regexp_replace(F.trim(s), r"^\d+\.\s*", ""))

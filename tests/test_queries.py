@@ -137,3 +137,25 @@ def test_markdown_export_and_vectors(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/v").count() == 1
     merged = files.upsert(df, spark.createDataFrame([(1, "new"), (9, "nine")], "id long, name string"), "id")
     assert {r.id: r.name for r in merged.collect()}[1] == "new" and merged.count() == 6
+
+
+def test_optional_tables_envelopes_and_domains(spark, tmp_path):
+    assert files.read_or_empty(spark, f"{tmp_path}/none.csv", "a string, b int").columns == ["a", "b"]
+    (tmp_path / "there.csv").write_text("a,b\nx,1\n")
+    assert files.read_or_empty(spark, f"{tmp_path}/there.csv", "a string, b int").first().b == 1
+    texts = [('[{"id":"1"},{"id":"2"}]',), ('{"rows":[{"id":"3"}]}',), ('{"data":[{"id":"4"}],"rows":[{"id":"5"}]}',), ("odd",), (None,)]
+    got = files.unwrap(spark.createDataFrame(texts, "t string"), "t", ("data", "rows"), "struct<id:string>")
+    assert sorted(r.id for r in got.collect()) == ["1", "2", "3", "4"]
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, None)], "id long, name string")
+    assert files.checked_values(df, "name", ["a"]) == ["a"]
+    with pytest.raises(ValueError, match="known: a, b"):
+        files.checked_values(df, "name", ["a", "c"])
+    assert [r.id for r in files.delete_keys(df, df.where("id = 2"), "id").collect()] == [1]
+
+
+def test_siblings_of_skill_files(spark, tmp_path):
+    for path in ("a/SKILL.md", "a/x.txt", "a/deep/y.txt", "b/SKILL.md", "z.txt"):
+        (tmp_path / path).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / path).write_text("x")
+    got = {r.path.rsplit("/", 2)[1]: r.extra_files for r in files.siblings(spark, str(tmp_path)).collect()}
+    assert got == {"a": ["deep/y.txt", "x.txt"], "b": []}
