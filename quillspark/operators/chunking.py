@@ -123,12 +123,44 @@ def pack(parts: Column, size: int, overlap: int, least: int = 120) -> Column:
     return F.element_at(F.transform(F.array(packed), lambda c: F.when(F.size(c) > 1, fold_runt(c)).otherwise(c)), 1)
 
 
-def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk: id, idx, chunk_id, text, chars, tokens_est, overlap_chars, paragraphs."""
+def _offsets(parts: Column, text: Column) -> Column:
+    """array<struct<start, end>>: where each unit stands in the text, looked for from the end of the one before; a unit
+    that is not found (its blanks were changed) is put there."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(a: Column, u: Column) -> Column:
+        at = F.call_function("locate", u, text, a["cursor"] + 1)
+        start = F.when(at > 0, at - 1).otherwise(a["cursor"])
+        place = F.struct(start.cast("int").alias("start"), (start + F.length(u)).cast("int").alias("end"))
+        return F.struct(F.concat(a["done"], F.array(place)).cast(kind).alias("done"), (start + F.length(u)).cast("int").alias("cursor"))
+
+    return F.aggregate(parts, F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("cursor")), step, lambda a: a["done"])
+
+
+def _sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it."""
+    start = F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("sum"))
+    step = lambda a, n: F.struct(F.concat(a["done"], F.array(a["sum"])).alias("done"), (a["sum"] + n).cast("int").alias("sum"))
+    return F.aggregate(numbers, start, step, lambda a: a["done"])
+
+
+def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 150, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+    """One row per chunk: id, idx, chunk_id, text, chars, tokens_est, overlap_chars, paragraphs; with offsets also
+    char_start and char_end.
+
+    These tell where the chunk's own part (without the overlap) stands in the reflowed text, whose paragraphs are an
+    empty line apart. They are looked for in the text unit by unit, which takes longer for long texts.
+    """
     ready = docs.select(F.col(id_col), reflow(clean_glyphs(F.coalesce(F.col(text_col), F.lit("")))).alias("paras"))
-    packed = ready.select(id_col, pack(units(F.col("paras"), size), size, overlap).alias("chunks"))
-    each = packed.select(id_col, F.posexplode("chunks").alias("idx", "c"))
-    text = F.col("c.text")
+    if offsets:
+        cut = ready.select(id_col, F.array_join("paras", "\n\n").alias("whole"), units(F.col("paras"), size).alias("parts"))
+        packed = cut.select(id_col, pack(F.col("parts"), size, overlap).alias("chunks"), _offsets(F.col("parts"), F.col("whole")).alias("places"))
+        packed = packed.withColumn("before", _sums_before(F.transform("chunks", lambda c: c["paragraphs"])))
+    else:
+        packed = ready.select(id_col, pack(units(F.col("paras"), size), size, overlap).alias("chunks"))
+    each = packed.select(*[c for c in packed.columns if c != "chunks"], F.posexplode("chunks").alias("idx", "c"))
+    text, first = F.col("c.text"), F.get("before", F.col("idx"))
+    places = [F.get("places", first)["start"].alias("char_start"), F.get("places", first + F.col("c.paragraphs") - 1)["end"].alias("char_end")]
     return each.select(
         id_col,
         "idx",
@@ -138,6 +170,7 @@ def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 150, id_col
         F.greatest(F.lit(1), F.bround(F.length(text) / 4.0).cast("int")).alias("tokens_est"),
         "c.overlap_chars",
         "c.paragraphs",
+        *(places if offsets else []),
     )
 
 

@@ -108,6 +108,17 @@ def test_chunks_stay_within_bounds(spark):
     assert chunk_documents(docs).agg(F.max(F.col("chars") - F.col("overlap_chars"))).first()[0] <= 800 + 120
 
 
+def test_chunk_offsets_point_into_the_text(spark):
+    paras = [f"Paragraph {i} says {'word ' * (30 + 11 * i)}at its end." for i in range(9)] + ["Paragraph 1 says it again."]
+    rows = chunk_documents(spark.createDataFrame([(1, "\n\n".join(paras))], "doc_id long, text string"), 300, 60, offsets=True).orderBy("idx").collect()
+    whole = "\n\n".join(" ".join(p.split()) for p in paras)
+    assert len(rows) > 4 and rows[0].char_start == 0 and rows[-1].char_end == len(whole)
+    for a, b in zip(rows, rows[1:]):
+        assert a.char_end <= b.char_start <= a.char_end + 2
+        if b is not rows[-1]:  # into the last one a runt is folded, overlap and all
+            assert whole[b.char_start : b.char_end].split() == b.text[b.overlap_chars :].split()
+
+
 def test_case_files(spark, tmp_path):
     head = ",".join(files.CASE_COLUMNS)
     good = tmp_path / "good.csv"
