@@ -1,11 +1,12 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import ranking
+from quillspark.operators import chunking, ranking
 from quillspark.operators.chunking import chunk_documents, clean_glyphs, normalise_space, pack, reflow
 from quillspark.sources import files
 from tests.oracle import connect, same_rows
@@ -108,6 +109,73 @@ def test_chunks_stay_within_bounds(spark):
     assert chunk_documents(docs).agg(F.max(F.col("chars") - F.col("overlap_chars"))).first()[0] <= 800 + 120
 
 
+def brute_reflow(text):
+    done, cur, prev = [], "", ""
+    for raw in text.split("\n"):
+        line = raw.strip(" ")
+        if not line:
+            done, cur, prev = done + [cur] * bool(cur), "", ""
+        elif re.search(chunking.PAGE_NOISE, line, re.ASCII):
+            prev = ""
+        else:
+            bullet = re.search(chunking.BULLET, raw, re.ASCII)
+            ended = prev and (re.search(chunking.TERMINAL, prev) or (len(prev) <= 60 and len(re.split(r"\s+", prev, flags=re.ASCII)) <= 9))
+            shown = re.sub(chunking.BULLET, "- ", line, flags=re.ASCII) if bullet else line
+            if not cur or bullet or (ended and re.match(r"\S", raw, re.ASCII)):
+                done, cur = done + [cur] * bool(cur), shown
+            else:
+                cur += " " + line
+            prev = line
+    return done + [cur] * bool(cur)
+
+
+def brute_chunks(text, size=800, overlap=150):
+    units = []
+    for p in brute_reflow(text):
+        if len(p) <= size:
+            units.append(p)
+            continue
+        cur, pattern = "", rf"(?s)\s*(.{{1,{size}}}$|.{{{size // 2},{size - 1}}}(?= )|.{{1,{size}}})"
+        for piece in (x.strip(" ") for sentence in re.split(r"(?<=[.!?])\s+", p, flags=re.ASCII) for x in re.findall(pattern, sentence.strip(" "), re.ASCII)):
+            if piece and cur and len(cur) + 1 + len(piece) <= size:
+                cur += " " + piece
+            elif piece:
+                units, cur = units + [cur] * bool(cur), piece
+        units += [cur] * bool(cur)
+    packs, used = [], 0
+    for u in units:
+        if packs and used + len(u) + 2 <= size:
+            packs[-1].append(u)
+            used += len(u) + 2
+        else:
+            used = len(u) + 2 * bool(packs)  # the separator counts though the unit opens a chunk
+            packs.append([u])
+    chunks = []
+    for own in packs:
+        before = chunks[-1][0] if chunks else ""
+        tail = before[-overlap:] if len(before) > overlap else ""
+        if 0 <= tail.find(" ") < 40:
+            tail = tail[tail.find(" ") + 1 :]
+        body = "\n\n".join(own)
+        chunks.append((f"{tail}\n\n{body}" if tail else body, len(tail) + 2 if tail else 0, len(own)))
+    if len(chunks) > 1 and len(chunks[-1][0]) < 120:
+        (a, o, n), (b, _, m) = chunks[-2:]
+        chunks[-2:] = [(f"{a}\n\n{b}", o, n + m)]
+    return chunks
+
+
+def test_chunks_equal_brute_force(spark):
+    """The fold inside the JVM against a plain loop, over whole texts."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", clean_glyphs(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got: dict = {}
+    for r in chunk_documents(docs).orderBy("doc_id", "idx").collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.overlap_chars, r.paragraphs))
+    assert got == {i: c for i, t in texts.items() if (c := brute_chunks(t))}
+    flowed = docs.select("doc_id", reflow(F.col("text")).alias("p")).collect()
+    assert all(r.p == brute_reflow(texts[r.doc_id]) for r in flowed)
+
+
 def test_chunk_offsets_point_into_the_text(spark):
     paras = [f"Paragraph {i} says {'word ' * (30 + 11 * i)}at its end." for i in range(9)] + ["Paragraph 1 says it again."]
     rows = chunk_documents(spark.createDataFrame([(1, "\n\n".join(paras))], "doc_id long, text string"), 300, 60, offsets=True).orderBy("idx").collect()
