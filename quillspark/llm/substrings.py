@@ -36,7 +36,7 @@ LENGTH, ANCHOR = 50, 28
 #: Window starts looked at together, and bytes of fragments compared together.
 CHUNK, BUCKET = 1 << 20, 1 << 20
 #: Bytes of text read at a time, and for each part of the shuffle.
-SLICE_BYTES, PART_BYTES = 1 << 24, 1 << 24
+SLICE_BYTES, PART_BYTES = 1 << 23, 1 << 24
 #: One in so many texts is looked at for hot anchors; the share of a part's fragments, and their least number, that make
 #: an anchor hot; most such anchors.
 SAMPLE, HOT_SHARE, HOT, MOST_HOT = 16, 0.125, 1024, 1_000_000
