@@ -1,5 +1,9 @@
 """Near-duplicate documents by SimHash fingerprints and deletion-variant signatures.
 
+Two forms: exact links of 64-bit fingerprints within a few bits (near_duplicates), and links of 252-bit fingerprints
+within 40 bits (similar_documents), which is a similarity of 0.8 of five-word shingles. There so many bits differ that no
+choice of segments holds one of one bit or less for certain, so long fingerprints with many segments make it likely.
+
 Null and empty texts have fingerprint zero and link like any other. Repeated rows keep their places: every input
 row has one output row. Extra columns of the input are ignored.
 """
@@ -15,19 +19,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, materialize, slices, small_batches, table, utf8_buffers
+from quillspark.llm.common import broadcast_if_small, materialize, mix64, slices, small_batches, table, utf8_buffers
 from quillspark.llm.components import connected_components
 
 BITS = 64
 #: Distinct fingerprints up to which so many pieces keep signature buckets small.
 PIECES = ((4_000_000, 3), (400_000_000, 5), (float("inf"), 6))
+#: Long fingerprints: words of 63 bits, segments of a word and bits of a segment; most bits in which similar texts differ.
+WORDS, PER_WORD, SEGMENT, WIDE_DISTANCE = 4, 3, 21, 40
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats counted; zero for a text without words."""
+def _shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles (as big-endian bytes), repeats included, block by block."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -35,14 +41,35 @@ def fingerprint(text: bytes, width: int = 4) -> int:
         starts, ends = starts[: -(width - 1)], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, votes, count = xxhash.xxh64_digest, np.zeros(BITS, np.int64), len(starts)
-    for at in range(0, count, 1 << 15):
+    digest = xxhash.xxh64_digest
+    for at in range(0, len(starts), 1 << 15):
         spans = zip(starts[at : at + (1 << 15)].tolist(), ends[at : at + (1 << 15)].tolist(), strict=True)
-        hashes = np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in spans]), np.uint8)
+        yield np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in spans]), np.uint8)
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats counted; zero for a text without words."""
+    votes, count = np.zeros(BITS, np.int64), 0
+    for hashes in _shingle_hashes(text, width):
         votes += np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        count += len(hashes) // 8
     return int.from_bytes(np.packbits(2 * votes > count).tobytes(), "big")
 
 
+def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
+    """The long SimHash of a text's word shingles: WORDS longs of 63 bits; zeros for a text without words.
+
+    A shingle's further bits are mixed out of its one hash.
+    """
+    votes, count = np.zeros(BITS * WORDS, np.int64), 0
+    for raw in _shingle_hashes(text, width):
+        hashes = raw.view(np.uint64)
+        wide = np.stack([mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(WORDS)], axis=1)
+        votes += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+        count += len(hashes)
+    return np.packbits(2 * votes > count).view(np.uint64).astype(np.uint64) >> np.uint64(1)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (the fingerprint's bits as a signed long) for every row of docs."""
 
@@ -135,6 +162,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(class_of, "fp").select("id", "fp", "component_id")
 
 
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """id, words (the long fingerprint), fp (a hash of it) for every row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, data = utf8_buffers(batch.column(1))
+            out = np.zeros((batch.num_rows, WORDS), np.uint64)
+            for i in range(batch.num_rows):
+                out[i] = wide_fingerprint(data[bounds[i] : bounds[i + 1]].tobytes(), width)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, WORDS, dtype=np.int32)), pa.array(out.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "words"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "id long, words array<long>").withColumn("fp", F.xxhash64("words"))
+
+
+def _segments(fps: DataFrame) -> DataFrame:
+    """fps with block and seg, a row for each segment of the long fingerprint."""
+    each = fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(WORDS * PER_WORD - 1))).alias("block"))
+    return each.withColumn("seg", F.expr(f"shiftright(words[cast(block div {PER_WORD} AS int)], {SEGMENT} * (block % {PER_WORD})) & {(1 << SEGMENT) - 1}L")).drop("words")
+
+
+def _wide_near(pairs: DataFrame, known: DataFrame, distance: int) -> DataFrame:
+    """Of pairs (a, b, ...) those whose long fingerprints (known: fp, words) differ in at most `distance` bits."""
+    left, right = known.select(F.col("fp").alias("a"), F.col("words").alias("wa")), known.select(F.col("fp").alias("b"), F.col("words").alias("wb"))
+    joined = pairs.join(broadcast_if_small(left), "a").join(broadcast_if_small(right), "b")
+    bits = sum((F.bit_count(F.get("wa", k).bitwiseXOR(F.get("wb", k))) for k in range(1, WORDS)), F.bit_count(F.get("wa", 0).bitwiseXOR(F.get("wb", 0))))
+    return joined.where(bits <= distance).drop("wa", "wb")
+
+
+def link_wide(fps: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """fp, component for the long fingerprints that have a neighbour within `distance` bits (fps: fp, words; distinct, materialised).
+
+    As in link_fingerprints: buckets of equal segments link their members to the smallest one, then one-wildcard variants
+    of segments are joined where components still differ. Two texts of a similarity of 0.8, 0.85 or 0.9 share a segment
+    but for one bit with a probability of 0.86, 0.95 or 0.99.
+    """
+    plain = _segments(fps)
+    hubs = plain.groupBy("block", "seg").agg(F.min("fp").alias("b"), F.max("fp").alias("last")).where("b <> last").drop("last")
+    stars = plain.join(broadcast_if_small(materialize(hubs)), ["block", "seg"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    near = materialize(_wide_near(stars, fps, distance))
+    first = materialize(connected_components(near, rough_rounds=2))
+    labelled = fps.join(broadcast_if_small(first.withColumnRenamed("node", "fp")), "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
+    # a variant without a bit meets only such as have the other bit there; the key holds block, wildcard and the rest
+    index = _segments(materialize(labelled)).select("*", F.explode(F.sequence(F.lit(-1), F.lit(SEGMENT - 1))).alias("wild"))
+    key = F.expr("shiftleft(cast(block AS long), 40) | shiftleft(cast(wild + 1 AS long), 32) | CASE WHEN wild < 0 THEN seg ELSE seg & ~shiftleft(1L, wild) END")
+    index = index.select("fp", "c", "wild", key.alias("key"), F.expr("(seg & shiftleft(1L, greatest(wild, 0))) <> 0").alias("bit"))
+    left = index.where("wild < 0 or not bit").select("key", F.col("fp").alias("a"), F.col("c").alias("ca"))
+    right = index.where("wild < 0 or bit").select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb"))).select("a", "b", "ca", "cb")
+    more = _wide_near(met, fps, distance).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    merged = connected_components(near.unionByName(more))
+    return merged.select(F.col("node").alias("fp"), "component")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = WIDE_DISTANCE, width: int = 5) -> DataFrame:
+    """id, component_id (smallest id reachable over links) for every row of docs; links are a similarity of about 0.8 or more.
+
+    Ids are treated as near_duplicates does.
+    """
+    prints = materialize(wide_fingerprints(docs, id_col, text_col, width))
+    distinct = materialize(prints.groupBy("fp").agg(F.first("words").alias("words"), F.min("id").alias("least")))
+    linked = materialize(link_wide(distinct.select("fp", "words"), distance))
+    groups = distinct.drop("words").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.select("id", "fp").join(groups.join(least, "component").select("fp", "component_id"), "fp").select("id", "component_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of all documents."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -142,14 +237,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group; those without id stay.
+    """Keeps the document with the smallest id of each group of similar documents; those without id stay.
 
     A row is known by its id and a hash of its text: texts of different groups stay, though they share an id, and of a
     group one row stays, though several have its smallest id.
     """
     small_batches(spark)
     text_hash = F.xxhash64("text")
-    groups = near_duplicates(docs.select(text_hash.alias("_h"), "text"), "_h").select(F.col("id").alias("_h"), F.col("component_id").alias("_group")).distinct()
+    groups = similar_documents(docs.select(text_hash.alias("_h"), "text"), "_h").select(F.col("id").alias("_h"), F.col("component_id").alias("_group")).distinct()
     least = docs.where("doc_id is not null").groupBy(text_hash.alias("_h")).agg(F.min("doc_id").alias("_id"))
     keep = groups.join(least, "_h").groupBy("_group").agg(F.min(F.struct("_id", "_h")).alias("_keep")).select("_keep._id", "_keep._h")
     keep = broadcast_if_small(materialize(keep))

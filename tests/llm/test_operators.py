@@ -81,6 +81,45 @@ def test_simhash_links_every_near_fingerprint(spark):
             assert (own[x] == own[y]) == (x == y or group.get(x, x) == group.get(y, y))
 
 
+def brute_similar(texts: dict) -> dict:
+    """Smallest id reachable over pairs within 40 bits that have a segment but for one bit in common."""
+    prints = {i: [int(x) for x in simhash.wide_fingerprint(t)] for i, t in texts.items()}
+    parent = {i: i for i in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(prints)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            other = [x ^ y for x, y in zip(prints[i], prints[j], strict=True)]
+            if sum(x.bit_count() for x in other) <= 40 and any((x >> s & (1 << 21) - 1).bit_count() <= 1 for x in other for s in (0, 21, 42)):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_similar_documents(spark, docs):
+    """Links equal brute force; copies with one word in 60 or so changed are caught, other texts are left alone."""
+    import random  # noqa: PLC0415
+
+    rng = random.Random(3)
+    texts = {r.doc_id: r.text for r in docs.limit(120).collect()}
+    for i in range(60):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+        texts[1000 + 2 * i] = " ".join(words)
+        for j in rng.sample(range(200), 3):
+            words[j] = "changed"
+        texts[1001 + 2 * i] = " ".join(words)
+    got = {r.id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_similar({i: (t or "").encode() for i, t in texts.items()})
+    assert sum(got[1001 + 2 * i] == 1000 + 2 * i for i in range(60)) >= 55
+    assert len({got[1000 + 2 * i] for i in range(60)}) == 60
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (100, 101)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(links).collect()}
@@ -291,5 +330,5 @@ def test_pipeline_is_repeatable_and_keeps_one_of_each_group(spark, docs):
     once, again = (sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()) for _ in range(2))
     assert once == again and len(once) == len(set(once))
     deduped = simhash.stage(spark, docs, SMALL)
-    own = brute_components({r.doc_id: brute_fingerprint(r.text) for r in docs.collect()})
+    own = brute_similar({r.doc_id: (r.text or "").encode() for r in docs.collect()})
     assert sorted(r.doc_id for r in deduped.collect()) == sorted(set(own.values()))
