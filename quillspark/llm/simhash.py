@@ -1,8 +1,9 @@
 """Near-duplicate documents by SimHash fingerprints and deletion-variant signatures.
 
-Two forms: exact links of 64-bit fingerprints within a few bits (near_duplicates), and links of 252-bit fingerprints
-within 40 bits (similar_documents), which is a similarity of 0.8 of five-word shingles. There so many bits differ that no
-choice of segments holds one of one bit or less for certain, so long fingerprints with many segments make it likely.
+Two forms: exact links of 64-bit fingerprints within a few bits (near_duplicates), and links of texts whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more (similar_documents). The latter finds pairs by 252-bit
+fingerprints and verifies them on the sets. At 0.8 so many bits differ that no choice of segments holds one of one bit or
+less for certain, so long fingerprints with many segments make it likely.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows keep their places: every input
 row has one output row. Extra columns of the input are ignored.
@@ -25,8 +26,13 @@ from quillspark.llm.components import connected_components
 BITS = 64
 #: Distinct fingerprints up to which so many pieces keep signature buckets small.
 PIECES = ((4_000_000, 3), (400_000_000, 5), (float("inf"), 6))
-#: Long fingerprints: words of 63 bits, segments of a word and bits of a segment; most bits in which similar texts differ.
-WORDS, PER_WORD, SEGMENT, WIDE_DISTANCE = 4, 3, 21, 40
+#: Long fingerprints: words of 63 bits, segments of a word and bits of a segment.
+WORDS, PER_WORD, SEGMENT = 4, 3, 21
+#: Similarity that links two texts, and most bits of long fingerprints in which pairs worth verifying differ: at 0.8
+#: about 36 bits differ if a segment agrees, with a standard deviation below 6.
+SIMILARITY, WIDE_DISTANCE = 0.8, 48
+#: Pairs of one text that meet its shingle set in one place; a text in more pairs has its set copied.
+PAIRS_A_COPY = 1000
 
 
 def _shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
@@ -56,18 +62,29 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * votes > count).tobytes(), "big")
 
 
-def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
-    """The long SimHash of a text's word shingles: WORDS longs of 63 bits; zeros for a text without words.
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted different hashes of a text's word shingles."""
+    blocks = [raw.view(np.uint64) for raw in _shingle_hashes(text, width)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The long SimHash of a set of shingle hashes: WORDS longs of 63 bits; zeros for an empty set.
 
     A shingle's further bits are mixed out of its one hash.
     """
-    votes, count = np.zeros(BITS * WORDS, np.int64), 0
-    for raw in _shingle_hashes(text, width):
-        hashes = raw.view(np.uint64)
-        wide = np.stack([mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(WORDS)], axis=1)
+    votes = np.zeros(BITS * WORDS, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        part = hashes[at : at + (1 << 15)]
+        wide = np.stack([mix64(part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(WORDS)], axis=1)
         votes += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
-        count += len(hashes)
-    return np.packbits(2 * votes > count).view(np.uint64).astype(np.uint64) >> np.uint64(1)
+    return np.packbits(2 * votes > len(hashes)).view(np.uint64).astype(np.uint64) >> np.uint64(1)
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """A hash of a whole shingle set, as a signed long."""
+    key = xxhash.xxh64_intdigest(hashes.tobytes())
+    return key - (1 << BITS) if key >> (BITS - 1) else key
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,19 +180,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """id, words (the long fingerprint), fp (a hash of it) for every row of docs."""
+    """id, text_hash, fp (a hash of the shingle set), n (its size), words (the long fingerprint) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds, data = utf8_buffers(batch.column(1))
+            bounds, data = utf8_buffers(batch.column(2))
             out = np.zeros((batch.num_rows, WORDS), np.uint64)
+            keys, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
-                out[i] = wide_fingerprint(data[bounds[i] : bounds[i + 1]].tobytes(), width)
+                hashes = shingle_set(data[bounds[i] : bounds[i + 1]].tobytes(), width)
+                out[i], keys[i], sizes[i] = wide_fingerprint(hashes), set_key(hashes), len(hashes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, WORDS, dtype=np.int32)), pa.array(out.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(sizes), lists], names=["id", "text_hash", "fp", "n", "words"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, words array<long>").withColumn("fp", F.xxhash64("words"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "id long, text_hash long, fp long, n long, words array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text", width: int = 5) -> DataFrame:
+    """fp, shingles (lower halves of the hashes) of the texts of docs whose hash is in wanted (text_hash), once each.
+
+    Of 32 bits, two of a text's shingles share a value so seldom that no similarity changes by more than a trace.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, data = utf8_buffers(batch.column(0))
+            for a, b in slices(bounds, 1 << 20):
+                sets = [shingle_set(data[bounds[i] : bounds[i + 1]].tobytes(), width) for i in range(a, b)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                values = np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), lists], names=["fp", "shingles"])
+
+    source = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    texts = source.join(wanted, "text_hash", "left_semi").select("text")
+    return texts.mapInArrow(run, "fp long, shingles array<int>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -185,26 +225,49 @@ def _segments(fps: DataFrame) -> DataFrame:
 
 
 def _wide_near(pairs: DataFrame, known: DataFrame, distance: int) -> DataFrame:
-    """Of pairs (a, b, ...) those whose long fingerprints (known: fp, words) differ in at most `distance` bits."""
-    left, right = known.select(F.col("fp").alias("a"), F.col("words").alias("wa")), known.select(F.col("fp").alias("b"), F.col("words").alias("wb"))
+    """Of pairs (a, b, ...) those that may be similar by the sizes and long fingerprints of known (fp, n, words)."""
+    left = known.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("words").alias("wa"))
+    right = known.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("words").alias("wb"))
     joined = pairs.join(broadcast_if_small(left), "a").join(broadcast_if_small(right), "b")
     bits = sum((F.bit_count(F.get("wa", k).bitwiseXOR(F.get("wb", k))) for k in range(1, WORDS)), F.bit_count(F.get("wa", 0).bitwiseXOR(F.get("wb", 0))))
-    return joined.where(bits <= distance).drop("wa", "wb")
+    return joined.where((F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")) & (bits <= distance)).drop("na", "nb", "wa", "wb")
+
 
+def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text_col: str, width: int) -> DataFrame:
+    """Of pairs (a, b, ...; materialised) those whose shingle sets have a Jaccard similarity of SIMILARITY or more.
 
-def link_wide(fps: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """fp, component for the long fingerprints that have a neighbour within `distance` bits (fps: fp, words; distinct, materialised).
+    texts (fp, text_hash) names a text for each set. A pair's text that is in more pairs is taken as b, and sets of texts
+    in many pairs are copied, each copy for some of the pairs, so that no task has all pairs of a hot text.
+    """
+    both = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
+    degree = materialize(both.groupBy("fp").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")))
+    wanted = materialize(texts.join(broadcast_if_small(degree), "fp", "left_semi").select("text_hash").distinct())
+    sets = materialize(shingle_sets(docs, broadcast_if_small(wanted), text_col, width))
+    of_a = broadcast_if_small(degree.select(F.col("fp").alias("a"), F.col("copies").alias("_ca")))
+    of_b = broadcast_if_small(degree.select(F.col("fp").alias("b"), F.col("copies").alias("_cb")))
+    turned = pairs.join(of_a, "a").join(of_b, "b").withColumn("_turn", F.col("_ca") > F.col("_cb"))
+    turned = turned.withColumns({"_x": F.when(F.col("_turn"), F.col("b")).otherwise(F.col("a")), "_y": F.when(F.col("_turn"), F.col("a")).otherwise(F.col("b"))})
+    turned = turned.withColumn("_part", F.pmod(F.xxhash64("_x"), F.greatest("_ca", "_cb")).cast("int"))
+    right = sets.join(broadcast_if_small(degree), "fp").select(F.col("fp").alias("_y"), F.col("shingles").alias("_sy"), F.explode(F.expr("sequence(0, copies - 1)")).alias("_part"))
+    met = turned.join(sets.select(F.col("fp").alias("_x"), F.col("shingles").alias("_sx")), "_x").join(right, ["_y", "_part"])
+    met = met.withColumn("_common", F.size(F.array_intersect("_sx", "_sy")))
+    return met.where(F.col("_common") >= SIMILARITY * (F.size("_sx") + F.size("_sy") - F.col("_common"))).select(pairs.columns)
+
+
+def link_wide(fps: DataFrame, docs: DataFrame, text_col: str = "text", distance: int = WIDE_DISTANCE, width: int = 5) -> DataFrame:
+    """fp, component for the shingle sets that have a similar one (fps: fp, n, words, text_hash; distinct, materialised).
 
     As in link_fingerprints: buckets of equal segments link their members to the smallest one, then one-wildcard variants
-    of segments are joined where components still differ. Two texts of a similarity of 0.8, 0.85 or 0.9 share a segment
-    but for one bit with a probability of 0.86, 0.95 or 0.99.
+    of segments are joined where components still differ; links of both kinds are verified. Two texts of a similarity of
+    0.8, 0.85 or 0.9 share a segment but for one bit with a probability of 0.86, 0.95 or 0.99.
     """
-    plain = _segments(fps)
+    texts, fps = fps.select("fp", "text_hash"), fps.select("fp", "n", "words")
+    plain = _segments(fps.drop("n"))
     hubs = plain.groupBy("block", "seg").agg(F.min("fp").alias("b"), F.max("fp").alias("last")).where("b <> last").drop("last")
     stars = plain.join(broadcast_if_small(materialize(hubs)), ["block", "seg"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    near = materialize(_wide_near(stars, fps, distance))
+    near = materialize(_verified(materialize(_wide_near(stars, fps, distance)), docs, texts, text_col, width))
     first = materialize(connected_components(near, rough_rounds=2))
-    labelled = fps.join(broadcast_if_small(first.withColumnRenamed("node", "fp")), "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
+    labelled = fps.join(broadcast_if_small(first.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "words", F.coalesce("component", "fp").alias("c"))
     # a variant without a bit meets only such as have the other bit there; the key holds block, wildcard and the rest
     index = _segments(materialize(labelled)).select("*", F.explode(F.sequence(F.lit(-1), F.lit(SEGMENT - 1))).alias("wild"))
     key = F.expr("shiftleft(cast(block AS long), 40) | shiftleft(cast(wild + 1 AS long), 32) | CASE WHEN wild < 0 THEN seg ELSE seg & ~shiftleft(1L, wild) END")
@@ -212,20 +275,20 @@ def link_wide(fps: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
     left = index.where("wild < 0 or not bit").select("key", F.col("fp").alias("a"), F.col("c").alias("ca"))
     right = index.where("wild < 0 or bit").select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
     met = left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb"))).select("a", "b", "ca", "cb")
-    more = _wide_near(met, fps, distance).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    merged = connected_components(near.unionByName(more))
+    met = _wide_near(met, fps, distance).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    merged = connected_components(near.unionByName(_verified(materialize(met), docs, texts, text_col, width)))
     return merged.select(F.col("node").alias("fp"), "component")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = WIDE_DISTANCE, width: int = 5) -> DataFrame:
-    """id, component_id (smallest id reachable over links) for every row of docs; links are a similarity of about 0.8 or more.
+    """id, component_id (smallest id reachable over links) for every row of docs; links are verified similarities of SIMILARITY or more.
 
-    Ids are treated as near_duplicates does.
+    Texts without words are alike. Ids are treated as near_duplicates does.
     """
     prints = materialize(wide_fingerprints(docs, id_col, text_col, width))
-    distinct = materialize(prints.groupBy("fp").agg(F.first("words").alias("words"), F.min("id").alias("least")))
-    linked = materialize(link_wide(distinct.select("fp", "words"), distance))
-    groups = distinct.drop("words").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    distinct = materialize(prints.groupBy("fp").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.min("id").alias("least"), F.min("text_hash").alias("text_hash")))
+    linked = materialize(link_wide(distinct.drop("least"), docs, text_col, distance, width))
+    groups = distinct.select("fp", "least").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.select("id", "fp").join(groups.join(least, "component").select("fp", "component_id"), "fp").select("id", "component_id")
 

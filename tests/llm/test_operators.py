@@ -82,8 +82,12 @@ def test_simhash_links_every_near_fingerprint(spark):
 
 
 def brute_similar(texts: dict) -> dict:
-    """Smallest id reachable over pairs within 40 bits that have a segment but for one bit in common."""
-    prints = {i: [int(x) for x in simhash.wide_fingerprint(t)] for i, t in texts.items()}
+    """Smallest id reachable over pairs of a Jaccard similarity of 0.8, near by bits, with a segment but for one bit in common."""
+    sets = {}
+    for i, t in texts.items():
+        words = t.lower().split()
+        sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    prints = {i: [int(x) for x in simhash.wide_fingerprint(simhash.shingle_set(t))] for i, t in texts.items()}
     parent = {i: i for i in prints}
 
     def find(x):
@@ -95,7 +99,8 @@ def brute_similar(texts: dict) -> dict:
     for n, i in enumerate(ids):
         for j in ids[:n]:
             other = [x ^ y for x, y in zip(prints[i], prints[j], strict=True)]
-            if sum(x.bit_count() for x in other) <= 40 and any((x >> s & (1 << 21) - 1).bit_count() <= 1 for x in other for s in (0, 21, 42)):
+            alike = sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if alike and sum(x.bit_count() for x in other) <= simhash.WIDE_DISTANCE and any((x >> s & (1 << 21) - 1).bit_count() <= 1 for x in other for s in (0, 21, 42)):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
