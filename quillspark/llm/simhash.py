@@ -1,7 +1,7 @@
 """Near-duplicate documents by SimHash fingerprints and deletion-variant signatures.
 
 Two forms: exact links of 64-bit fingerprints within a few bits (near_duplicates), and links of texts whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more (similar_documents). The latter finds pairs by 252-bit
+five-word shingles have a Jaccard similarity of 0.8 or more (similar_documents). The latter finds pairs by 378-bit
 fingerprints and verifies them on the sets. At 0.8 so many bits differ that no choice of segments holds one of one bit or
 less for certain, so long fingerprints with many segments make it likely.
 
@@ -27,10 +27,10 @@ BITS = 64
 #: Distinct fingerprints up to which so many pieces keep signature buckets small.
 PIECES = ((4_000_000, 3), (400_000_000, 5), (float("inf"), 6))
 #: Long fingerprints: words of 63 bits, segments of a word and bits of a segment.
-WORDS, PER_WORD, SEGMENT = 4, 3, 21
+WORDS, PER_WORD, SEGMENT = 6, 3, 21
 #: Similarity that links two texts, and most bits of long fingerprints in which pairs worth verifying differ: at 0.8
-#: about 36 bits differ if a segment agrees, with a standard deviation below 6.
-SIMILARITY, WIDE_DISTANCE = 0.8, 48
+#: about 55 bits differ if a segment agrees, with a standard deviation of 7.
+SIMILARITY, WIDE_DISTANCE = 0.8, 70
 #: Pairs of one text that meet its shingle set in one place; a text in more pairs has its set copied.
 PAIRS_A_COPY = 1000
 
@@ -259,7 +259,7 @@ def link_wide(fps: DataFrame, docs: DataFrame, text_col: str = "text", distance:
 
     As in link_fingerprints: buckets of equal segments link their members to the smallest one, then one-wildcard variants
     of segments are joined where components still differ; links of both kinds are verified. Two texts of a similarity of
-    0.8, 0.85 or 0.9 share a segment but for one bit with a probability of 0.86, 0.95 or 0.99.
+    0.8, 0.85 or 0.9 share a segment but for one bit with a probability of 0.95, 0.99 or over 0.999.
     """
     texts, fps = fps.select("fp", "text_hash"), fps.select("fp", "n", "words")
     plain = _segments(fps.drop("n"))
