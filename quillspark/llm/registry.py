@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import chat, decontam, langid, licenses, linededup, mixing, quality, simhash, substrings, urlrank
+from quillspark.llm import chat, decontam, langid, licenses, linededup, mixing, quality, resample, simhash, substrings, urlrank
 
-MODULES = (decontam, simhash, langid, licenses, substrings, quality, linededup, mixing, urlrank, chat)
+MODULES = (decontam, simhash, langid, licenses, substrings, quality, linededup, mixing, urlrank, chat, resample)
 
 
 def queries() -> dict:
