@@ -220,7 +220,7 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held: dict[int, np.ndarray] = {}
 
     def emit(blocks: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([held.pop(b) for b in blocks], pa.list_(pa.int64()))], names=["block", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([np.trim_zeros(held.pop(b), "b") for b in blocks], pa.list_(pa.int64()))], names=["block", "sums"])
 
     for batch in batches:
         if not batch.num_rows:
