@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import chat, decontam, langid, licenses, linededup, mixing, negatives, quality, resample, simhash, substrings, urlrank
+from quillspark.llm import chat, decontam, langid, licenses, linededup, mixing, negatives, pii, quality, resample, simhash, substrings, urlrank
 
-MODULES = (decontam, simhash, langid, licenses, substrings, quality, linededup, mixing, urlrank, chat, resample, negatives)
+MODULES = (decontam, simhash, langid, licenses, substrings, quality, linededup, mixing, urlrank, chat, resample, negatives, pii)
 
 
 def queries() -> dict:
