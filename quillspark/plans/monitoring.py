@@ -64,6 +64,11 @@ ON_INCIDENTS = {
 }
 
 
+def severity(failures):
+    """The severity of an incident by its failed checks (H-08)."""
+    return F.when(failures >= 4, "SEV-1").when(failures == 3, "SEV-2").when(failures == 2, "SEV-3").otherwise("SEV-4")
+
+
 def incident_rows(spark, sf_dir):
     """Stretches of DOWN checks of a service: a run keeps the difference of its places among all and among DOWN checks.
 

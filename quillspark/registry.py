@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from quillspark.plans import catalogue, jobs, monitoring, normalise, retrieval, skills, textops
-from quillspark.streaming import health, incidents
+from quillspark.streaming import health, incidents, lifecycle, upserts
 
-MODULES: tuple = (catalogue, monitoring, normalise, jobs, retrieval, textops, skills, health, incidents)
+MODULES: tuple = (catalogue, monitoring, normalise, jobs, retrieval, textops, skills, health, incidents, lifecycle, upserts)
 
 
 def queries() -> dict:
