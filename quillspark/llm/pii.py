@@ -248,7 +248,8 @@ def spans_text(spans: str) -> Column:
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of all documents."""
     found = find_private(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(spans_text("spans").cast("binary"), 256).alias("base_sha256"), spans_text("all_spans").alias("spans"))
 
 

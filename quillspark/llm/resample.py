@@ -254,10 +254,10 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield emit(list(held))
 
 
-def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text", buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
+def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text", buckets: int = BUCKETS, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_features, n_words, weight (the sum of gains) for every row of docs, and block, place (which row it is)."""
-    source = materialize(postings(docs, id_col, text_col, buckets, longest))
-    wanted = postings(target.select(F.lit(0).alias("_none"), F.col(target_text_col).alias("_text")), "_none", "_text", buckets, longest)
+    source = materialize(postings(docs, id_col, text_col, buckets, longest, block_bytes))
+    wanted = postings(target.select(F.lit(0).alias("_none"), F.col(target_text_col).alias("_text")), "_none", "_text", buckets, longest, block_bytes)
     gain = gains(source, wanted, buckets).hint("shuffle_hash")
     met = source.where("bucket is not null").select("block", "bucket", "entries").join(gain, "bucket").select("block", "gain", "entries")
     sums = met.mapInArrow(_partial_sums, "block long, sums array<bigint>")
