@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.plans import catalogue, jobs, monitoring, normalise, retrieval, skills, textops
+from quillspark.plans import catalogue, jobs, monitoring, normalise, retrieval, skilldocs, skills, textops, tickets
 from quillspark.streaming import health, incidents, lifecycle, upserts
 
-MODULES: tuple = (catalogue, monitoring, normalise, jobs, retrieval, textops, skills, health, incidents, lifecycle, upserts)
+MODULES: tuple = (catalogue, monitoring, normalise, jobs, retrieval, textops, skills, health, incidents, lifecycle, upserts, tickets, skilldocs)
 
 
 def queries() -> dict:
