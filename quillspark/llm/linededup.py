@@ -4,7 +4,8 @@ A line is compared by its form, which is the line without blanks at its ends. Li
 content, and always stay; so do lines of fewer than `min_chars` characters where a caller asks for it (the operator and
 the stage do not). Lines shorter than a shingle are linked if they are equal. Lines of at least `threshold` Jaccard similarity over their
 character shingles are linked; of every connected component the line with the smallest (document id, line number)
-stays. Null texts have no lines. Rows that share an id count as one document, so exact repeats of a row keep the
+stays. Null texts have no lines. A row is known by its id and a hash of its text, so rows that share an id, or have
+none, are documents of their own (those without an id come first); rows equal in both are one document and keep the
 same lines. Lines are identified by a 64-bit hash of their form.
 """
 
@@ -31,8 +32,9 @@ def _odd(n: int, seed: int) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """id, line_no (from 0), line, form, h of every line that is long enough to compare."""
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+    """id (struct of id and text_hash), line_no (from 0), line, form, h of every line that is long enough to compare."""
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    each = docs.select(row.alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
     each = each.withColumn("form", F.trim("line")).where((F.length("form") >= min_chars) & F.col("form").rlike(r"(?U)\S"))
     return each.withColumn("h", F.xxhash64("form"))
 
@@ -268,32 +270,32 @@ def line_groups(lines: DataFrame, signed: DataFrame, k: int = SHINGLE, threshold
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, removed: for each document that loses lines, their numbers and hashes (an array of structs)."""
+    """id, text_hash, removed: for each document that loses lines, their numbers and hashes (an array of structs)."""
     lines = lines_of(docs, id_col, text_col, min_chars)
     signed = materialize(_signed(lines, k, bands, rows))
     groups = line_groups(lines, signed, k, threshold, bands, rows)
     lost = signed.select("id", "line_no", "h").join(broadcast_if_small(groups), "h").where("not (id <=> keep_id and line_no = keep_line)")
-    return lost.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("line_no", "h"))).alias("removed"))
+    return lost.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("line_no", "h"))).alias("removed")).select("id.id", "id.text_hash", "removed")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, **how) -> DataFrame:
     """docs with the removed lines cut out of the text column; other columns and untouched texts stay as they are."""
-    lost = removed_lines(docs, id_col, text_col, min_chars, **how).select(F.col("id").alias("_lost_id"), F.col("removed").alias("_lost"))
-    joined = docs.join(lost, F.expr(f"`{id_col}` <=> _lost_id"), "left")
+    lost = removed_lines(docs, id_col, text_col, min_chars, **how).select(F.col("id").alias("_lost_id"), F.col("text_hash").alias("_lost_hash"), F.col("removed").alias("_lost"))
+    joined = docs.join(lost, F.expr(f"`{id_col}` <=> _lost_id and xxhash64(`{text_col}`) = _lost_hash"), "left")
 
     def stays(line, i):
         return ~F.array_contains("_lost", F.struct(i.alias("line_no"), F.xxhash64(F.trim(line)).alias("h")))
 
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), stays), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(kept)).drop("_lost_id", "_lost")
+    return joined.withColumn(text_col, F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(kept)).drop("_lost_id", "_lost_hash", "_lost")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined) of all documents."""
     docs = table(spark, sf_dir, "documents")
-    lost = removed_lines(docs, min_chars=1).select(F.col("id").alias("_id"), F.expr("array_sort(array_distinct(transform(removed, x -> x.line_no)))").alias("gone"))
-    sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"), F.col("text").isNull().alias("none"))
-    joined = sizes.join(lost, F.expr("doc_id <=> _id"), "left")
+    lost = removed_lines(docs, min_chars=1).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.expr("array_sort(array_distinct(transform(removed, x -> x.line_no)))").alias("gone"))
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"), F.col("text").isNull().alias("none"))
+    joined = sizes.join(lost, F.expr("doc_id <=> _id and h = _hash"), "left")
     return joined.select(
         "doc_id",
         F.when(F.col("none"), 0).otherwise(F.col("n")).cast("long").alias("n_lines"),
