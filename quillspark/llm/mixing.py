@@ -7,8 +7,8 @@ from histograms: sizes are summed by source and leading hash digits, the last bu
 by a running sum, and only the bucket after it is looked into by the next digits, down to single hashes; the
 document at the boundary is taken if that ends nearer to the target. Documents are never sorted.
 
-The hash is a digest of the id, so reruns agree; rows with equal ids go together. Null ids count as one id, null
-texts have size 0, the null source is a source of its own.
+The hash is a digest of id and text, so reruns agree, and rows without an id are told apart by their texts; rows equal
+in both go together. Null ids count as one id, null texts have size 0, the null source is a source of its own.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ def _size(text_col: str) -> Column:
     return F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _digest(id_col: str) -> Column:
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+def _digest(id_col: str, text_col: str) -> Column:
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))
     return F.substring(F.md5(key.cast("binary")), 1, DIGITS * LEVELS)
 
 
 def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, digest (15 hex digits) for every row."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _digest(id_col).alias("digest"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _digest(id_col, text_col).alias("digest"))
 
 
 def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
@@ -94,9 +94,9 @@ def mix_rules(sized: DataFrame, most: int = MOST) -> DataFrame:
     return materialize(plan.alias("p").join(edges.alias("e"), F.expr("p.source <=> e.source"), "left").select("p.*", "edge", "with_edge"))
 
 
-def _copies(digest: str) -> Column:
+def _copies(digest: Column) -> Column:
     """How often a row is taken, by its digest and the columns of mix_rules (as r)."""
-    lead = F.expr(f"substring({digest}, 1, length(r.edge))")
+    lead = F.substring(digest, F.lit(1), F.length("r.edge"))
     extra = F.when(F.col("r.budget") <= 0, 0).when(F.col("r.edge").isNull(), 1).when(lead < F.col("r.edge"), 1).when((lead == F.col("r.edge")) & F.col("r.with_edge"), 1).otherwise(0)
     return (F.col("r.whole") + extra).cast("long")
 
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
     sized = materialize(sizes_of(docs, id_col, text_col, source_col))
     joined = sized.alias("s").join(broadcast_if_small(mix_rules(sized, most)).alias("r"), F.expr("s.source <=> r.source"))
-    copies = _copies("s.digest")
+    copies = _copies(F.col("s.digest"))
     return joined.select("s.doc_id", "s.source", "s.size", "r.source_size", "r.target", copies.alias("copies"), (copies * F.col("s.size")).alias("taken"))
 
 
@@ -117,12 +117,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each row once, with copies (how often it is taken) and taken (its words times copies).
 
-    Texts stay where they are: only the rules, a row for each source, are joined to them.
+    Texts stay where they are: only the rules, a row for each source, are joined to them. Columns of these names that
+    docs has are replaced.
     """
     rules = broadcast_if_small(mix_rules(materialize(sizes_of(docs))))
-    joined = docs.withColumn("_digest", _digest("doc_id")).alias("d").join(rules.alias("r"), F.expr("d.source <=> r.source"))
-    taken = joined.select("d.*", _copies("d._digest").alias("copies")).where("copies > 0")
-    return taken.withColumn("taken", F.col("copies") * _size("text")).drop("_digest")
+    joined = docs.alias("d").join(rules.alias("r"), F.expr("d.source <=> r.source"))
+    copies = _copies(_digest("d.doc_id", "d.text"))
+    kept = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("copies", "taken")]
+    return joined.select(*kept, copies.alias("copies"), (copies * _size("d.text")).alias("taken")).where("copies > 0")
 
 
 QUERIES = {"op8_mixing": op8_mixing}
@@ -130,7 +132,7 @@ QUERIES = {"op8_mixing": op8_mixing}
 ORACLES = {
     "op8_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-    substr(md5(coalesce(doc_id::varchar, '')), 1, 15) AS digest FROM documents),
+    substr(md5(coalesce(doc_id::varchar, '') || chr(10) || coalesce(text, '')), 1, 15) AS digest FROM documents),
 s AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY 1),
 r AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
 o AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
