@@ -19,6 +19,7 @@ from quillspark.llm.common import let, table
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: Bits of a packed trigram that hold its position; the rest are of its hash, and equal hashes are checked word by word.
+#: Longer texts have hash and position side by side.
 PLACE_BITS = 24
 #: Rows of the sample on which costs are estimated.
 SAMPLE_ROWS = 2000
@@ -38,7 +39,8 @@ def repeated_words(words: Column) -> Column:
     """How many words lie in three-word windows that the array holds twice or more.
 
     Windows are packed as hash and position and sorted as plain longs; neighbours with one hash whose words agree are
-    repeats. Sorting keeps the work near linear however often a window repeats.
+    repeats. Sorting keeps the work near linear however often a window repeats. Texts of more words than a packed
+    position can tell apart are looked at as pairs of hash and position, which is slower and gives the same.
     """
     low = (1 << PLACE_BITS) - 1
 
@@ -66,7 +68,22 @@ def repeated_words(words: Column) -> Column:
         total = F.aggregate(p, start, lambda a, x: F.struct((a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"), x.alias("last")))
         return total["n"]
 
-    return let(words, lambda w: let(F.sort_array(windows(w)), lambda s: covered(places(w, s))))
+    def pairs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+
+    def same(w: Column, x: Column, y: Column) -> Column:
+        i, j = x["i"], y["i"]
+        return y.isNotNull() & (x["h"] == y["h"]) & (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+
+    def spots(w: Column, s: Column) -> Column:
+        repeats = lambda x, i: F.coalesce(same(w, x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(w, x, F.get(s, i + 1)), F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, repeats), lambda x: x["i"].cast("long")))
+
+    def counted(w: Column) -> Column:
+        short = let(F.sort_array(windows(w)), lambda s: covered(places(w, s)))
+        return F.when(F.size(w) <= 1 << PLACE_BITS, short).otherwise(let(F.sort_array(pairs(w)), lambda s: covered(spots(w, s))))
+
+    return let(words, counted)
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -337,3 +337,35 @@ def test_pipeline_is_repeatable_and_keeps_one_of_each_group(spark, docs):
     deduped = simhash.stage(spark, docs, SMALL)
     own = brute_similar({r.doc_id: (r.text or "").encode() for r in docs.collect()})
     assert sorted(r.doc_id for r in deduped.collect()) == sorted(set(own.values()))
+
+
+def test_lines_of_rows_that_share_an_id(spark, tmp_path):
+    """Rows without an id, or with the same one, lose only lines of their own."""
+    line = "a line that several documents have in common, long enough to compare"
+    texts = [(None, line), (None, "first\n" + line + "\nthird " + line[:40]), (7, line + "\nown words of this row"), (7, "head\n" + line), (8, line)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_lines, r.n_removed, r.removed) for r in linededup.op7_line_dedup(spark, str(tmp_path)).collect())
+    kept = [g for g in got if g[2] == 0]
+    assert len(kept) == 1 and kept[0][0] == "None"  # one copy of the line stays, with a row that has no id
+    assert {g[1]: g[3] for g in got if g[0] == "7"} == {2: "0"} or sorted(g[3] for g in got if g[0] == "7") == ["0", "1"]
+    assert all(g[2] == len(list(filter(None, g[3].split(",")))) and all(int(x) < g[1] for x in filter(None, g[3].split(","))) for g in got)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    left = [r.text for r in linededup.dedup_lines(frame).collect()]
+    assert sum(t.split("\n").count(line) for t in left) == 1
+
+
+def test_mixing_of_a_source_without_ids(spark):
+    rows = [(None, f"word{i} " * 100, "a") for i in range(40)] + [(i, "x " * 100, "b") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"copies": F.lit("s"), "taken": F.lit("t"), "_digest": F.lit("u")})
+    got = mixing.mix(frame).where("source = 'a'").agg(F.sum("taken"), F.max("target")).first()
+    assert abs(got[0] - got[1]) <= 100 and got[0] > 0
+    staged = mixing.stage(spark, frame, SMALL)
+    assert sorted(staged.columns) == sorted(frame.columns) and staged.where("copies > 0").count() == staged.count()
+
+
+def test_repeats_in_texts_beyond_packed_positions(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{(i * j * j) % 23}" for j in range(10 + 9 * i))) for i in range(12)] + [(99, "a b c a b c a b c"), (98, "a")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    usual = {r.doc_id: r.n_repeat_words for r in quality.counts(frame).collect()}
+    monkeypatch.setattr(quality, "PLACE_BITS", 3)
+    assert {r.doc_id: r.n_repeat_words for r in quality.counts(frame).collect()} == usual and usual[99] == 9
