@@ -1,9 +1,13 @@
 """A persisted vector index: coarse cells fitted on a bounded sample, every row filed under its cell.
 
-On disk an index is two Parquet tables: `cells` (cell, centre, spread) and `rows`, partitioned by cell. A search looks
-up the cells nearest to each query, and only rows of those cells meet the query, which the exact cosine then ranks. Rows
-and queries of a cell meet in blocks of a fixed size, so a cell with a third of all rows is many tasks and no task
-holds a whole cell. With few queries only the folders of their cells are read.
+On disk an index is three Parquet tables: `cells` (cell, centre), `rows`, partitioned by cell, and `probes`. A search
+looks up the cells nearest to each query, and only rows of those cells meet the query, which the exact cosine then
+ranks. Rows and queries of a cell meet in blocks of a fixed size, so a cell with a third of all rows is many tasks and
+no task holds a whole cell. With few queries only the folders of their cells are read.
+
+How many cells a search has to look at depends on the data: with clusters a few, with vectors that point anywhere most
+of them. So building ends with a measurement: a fixed number of rows ask, in one pass over all rows, and the number of
+cells that would have found the wanted share of their true neighbours is kept as the index's number of probes.
 
 Vectors that are null, empty or without length (all zeros) are filed under cell -1, which every query looks at: nothing
 is dropped from the index. Vectors of a width other than the index's are an error.
@@ -25,8 +29,8 @@ from pyspark.sql import types as T
 MOST_CELLS, SAMPLE_PER_CELL = 4096, 64
 #: Rows and queries of a cell that meet in one task at a time.
 ROWS_AT_ONCE, QUERIES_AT_ONCE = 20_000, 2_000
-#: Share of the cells that a search looks at, and the least number of them.
-PROBE_SHARE, LEAST_PROBES = 0.25, 8
+#: Share of true neighbours that a search is to find, and how many rows ask for how many neighbours to measure it.
+RECALL, ASKING, NEIGHBOURS = 0.95, 200, 10
 #: Up to so many wanted cells are named in the scan, which then skips the folders of others.
 NAMED_CELLS = 512
 
@@ -40,8 +44,8 @@ def _unit(column: str):
     return F.when(size > 0, F.transform(v, lambda x: x / size))
 
 
-def build_index(vectors: DataFrame, path: str, id_col: str = "id", vector_col: str = "embedding", cells: int | None = None, seed: int = 1) -> str:
-    """Fits cells on a sample, files every row of vectors under path, and returns the path.
+def build_index(vectors: DataFrame, path: str, id_col: str = "id", vector_col: str = "embedding", cells: int | None = None, seed: int = 1, recall: float = RECALL) -> str:
+    """Fits cells on a sample, files every row of vectors under path, measures the probes for recall, and returns the path.
 
     The number of cells is the square root of the number of rows, MOST_CELLS at most, unless it is given.
     """
@@ -59,9 +63,53 @@ def build_index(vectors: DataFrame, path: str, id_col: str = "id", vector_col: s
     table = spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "cell int, centre array<double>")
     table.write.mode("overwrite").parquet(f"{path}/cells")
     file_rows(named, path, mode="overwrite")
+    probes = _probes_for(named, path, recall, n)
+    spark.createDataFrame([(probes, recall)], "probes int, recall double").write.mode("overwrite").parquet(f"{path}/probes")
     return path
 
 
+def _probes_for(named: DataFrame, path: str, recall: float, n: int) -> int:
+    """How many cells hold the wanted share of the true neighbours of ASKING rows, picked by a hash."""
+    spark = named.sparkSession
+    centres = _centre_matrix(spark, path)
+    if not len(centres):
+        return 1
+    share = min(1.0, 2 * ASKING / max(1, n))
+    own = named.where("embedding is not null").where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)).limit(ASKING)
+    asked = own.toArrow()  # ASKING rows at most
+    q, good = _matrix(asked["embedding"].combine_chunks(), centres.shape[1])
+    ids, q = asked["id"].combine_chunks().filter(pa.array(good)), q[good]
+    place = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1, kind="stable").astype(np.int32)  # of each cell for each query
+    sent = spark.sparkContext.broadcast((ids, q, place))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, place = sent.value
+        score, rank = np.full((len(q), NEIGHBOURS), -2.0), np.zeros((len(q), NEIGHBOURS), np.int32)
+        known = {x: i for i, x in enumerate(ids.to_pylist())}
+        for batch in batches:
+            x, fine = _matrix(batch.column(1), q.shape[1])
+            cells = batch.column(2).to_numpy()
+            close = q @ x.T
+            close[:, ~fine] = -2.0
+            for j, x_id in enumerate(batch.column(0).to_pylist()):
+                if x_id in known:
+                    close[known[x_id], j] = -2.0  # not its own neighbour
+            near = place[:, np.maximum(cells, 0)]
+            both, ranks = np.concatenate((score, close), axis=1), np.concatenate((rank, near), axis=1)
+            top = np.argpartition(-both, NEIGHBOURS - 1, axis=1)[:, :NEIGHBOURS]
+            score, rank = np.take_along_axis(both, top, 1), np.take_along_axis(ranks, top, 1)
+        i, j = np.nonzero(score > -2.0)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(score[i, j]), pa.array(rank[i, j])], names=["query", "score", "rank"])
+
+    rows = spark.read.parquet(f"{path}/rows").select("id", "embedding", "cell")
+    met = rows.mapInArrow(nearest, "query int, score double, rank int")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "rank")
+    ranks = sorted(r.rank for r in met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= NEIGHBOURS).select("rank").collect())  # ASKING * NEIGHBOURS at most
+    if not ranks:
+        return 1
+    return min(len(centres), ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] + 1)
+
+
 def _centres(sample: DataFrame, cells: int, seed: int) -> list[list[float]]:
     points = sample.select(array_to_vector("v").alias("features"))
     if points.isEmpty():
@@ -75,7 +123,7 @@ def _centres(sample: DataFrame, cells: int, seed: int) -> list[list[float]]:
 def _centre_matrix(spark: SparkSession, path: str) -> np.ndarray:
     """The centres, MOST_CELLS rows at most."""
     rows = spark.read.parquet(f"{path}/cells").orderBy("cell").select("centre").limit(MOST_CELLS + 1).collect()
-    return np.array([r[0] for r in rows], np.float64).reshape(len(rows), -1)
+    return np.array([r[0] for r in rows], np.float64) if rows else np.zeros((0, 0))
 
 
 def _near_cells(df: DataFrame, centres: np.ndarray, k: int) -> DataFrame:
@@ -123,16 +171,15 @@ def file_rows(rows: DataFrame, path: str, mode: str = "append") -> None:
     dealt.write.mode(mode).partitionBy("cell").parquet(f"{path}/rows")
 
 
-def probes_for(cells: int) -> int:
-    """How many cells a search looks at by default."""
-    return max(LEAST_PROBES, round(cells * PROBE_SHARE))
+def _kept_probes(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/probes").first().probes
 
 
 def search(queries: DataFrame, path: str, k: int = 10, probes: int | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, score (cosine), rnk: the k nearest rows of the index for each query, ties by id; a row of the query's own id is left out."""
     spark = queries.sparkSession
     centres = _centre_matrix(spark, path)
-    probes = probes or probes_for(len(centres))
+    probes = probes or _kept_probes(spark, path)
     asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
     wanted = _near_cells(asked, centres, probes).select("id", "embedding", F.explode(F.array_union("cells", F.array(F.lit(_NOWHERE)))).alias("cell"))
     rows = spark.read.schema("id long, embedding array<float>, cell int").parquet(f"{path}/rows") if asked.schema["id"].dataType.simpleString() == "bigint" else spark.read.parquet(f"{path}/rows")

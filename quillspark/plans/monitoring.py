@@ -49,18 +49,13 @@ SQLS = {
     "s4_pivot_latency": f"{W}, h AS (SELECT date_trunc('day', ts) AS bucket, service, response_ms, row_number() OVER (PARTITION BY date_trunc('day', ts), service ORDER BY ts DESC, event_id DESC) AS rn FROM checks) SELECT cast(bucket AS date) AS bucket, max(CASE WHEN service = 'svc-0' THEN response_ms END) AS svc_0, max(CASE WHEN service = 'svc-1' THEN response_ms END) AS svc_1, max(CASE WHEN service = 'svc-2' THEN response_ms END) AS svc_2 FROM h WHERE rn = 1 GROUP BY bucket",
     # G-04: services seen in an environment
     "s4_semi_services": f"{W} SELECT event_id, service FROM checks WHERE environment = 'QA' AND service IN (SELECT service FROM checks WHERE environment = 'Production' AND health = 'DOWN')",
-    # G-15: key and value rows to one typed row; the last value of a key wins; D-34 pads the delays
-    "s4_settings_pivot": "WITH kv AS (SELECT * FROM (VALUES (1, 'retryCount', '2'), (2, 'retryDelayMs', '10000'), (3, 'retryDelayMs', '20000'), (4, 'retryDelayMs2', '30000')) AS v(pos, k, val)), last AS (SELECT k, val FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos DESC) AS rn FROM kv) x WHERE rn = 1) SELECT cast(max(CASE WHEN k = 'retryCount' THEN val END) AS bigint) + 1 AS retry_attempts, cast(floor(cast(max(CASE WHEN k = 'retryDelayMs' THEN val END) AS bigint) / 1000.0) AS bigint) AS first_delay_s, cast(floor(cast(max(CASE WHEN k = 'retryDelayMs2' THEN val END) AS bigint) / 1000.0) AS bigint) AS second_delay_s, coalesce(max(CASE WHEN k = 'timezone' THEN val END), 'Asia/Kolkata') AS zone FROM last",
 }
 QUERIES, ORACLES = both(SQLS)
 
-#: Over the incidents: severity and duration (H-08, H-12), KPIs (D-17), the timeline's offsets with waits of 20 and 30 s
-#: (G-16, H-13: 0, 1, 20, 22, 51, 52), and retries, which stop at the first that comes after the recovery (G-17, D-18).
+#: Over the incidents: severity (H-08), KPIs (D-17).
 ON_INCIDENTS = {
     "s4_incidents": f"WITH incidents AS (SELECT * FROM {{incidents}}) SELECT incident_id, environment, service, failures, retries, status, cast(CASE WHEN failures >= 4 THEN 'SEV-1' WHEN failures = 3 THEN 'SEV-2' WHEN failures = 2 THEN 'SEV-3' ELSE 'SEV-4' END AS varchar(20)) AS severity FROM incidents",
     "s4_incident_kpis": f"WITH incidents AS (SELECT * FROM {{incidents}}) SELECT count(CASE WHEN status = 'OPEN' THEN 1 END) AS open_n, count(CASE WHEN status = 'RESOLVED' THEN 1 END) AS resolved_n, cast(sum(retries) AS bigint) AS retries FROM incidents",
-    "s4_timeline": f"WITH incidents AS (SELECT * FROM {{incidents}}) SELECT incident_id, pos, off_s, kind FROM incidents CROSS JOIN (SELECT * FROM (VALUES (1, 0, 'FAIL'), (2, 1, 'RETRY_SCHEDULED'), (3, 20, 'RETRY'), (4, 22, 'RETRY_SCHEDULED'), (5, 51, 'RETRY'), (6, 52, 'FAIL')) AS v(pos, off_s, kind)) t",
-    "s4_retry_history": f"WITH incidents AS (SELECT * FROM {{incidents}}), a AS (SELECT incident_id, recovered, started, attempt, CASE attempt WHEN 1 THEN 20 ELSE 30 END AS delay_s, CASE attempt WHEN 1 THEN 22 ELSE 54 END AS off_s FROM incidents CROSS JOIN (SELECT * FROM (VALUES (1), (2)) AS v(attempt)) t), f AS (SELECT *, CASE WHEN recovered IS NOT NULL AND recovered <= started + off_s * INTERVAL '1' SECOND THEN 1 ELSE 0 END AS ok FROM a) SELECT incident_id, attempt, delay_s, ok FROM f x WHERE attempt = 1 OR NOT EXISTS (SELECT 1 FROM f y WHERE y.incident_id = x.incident_id AND y.attempt < x.attempt AND y.ok = 1)",
 }
 
 

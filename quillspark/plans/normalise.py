@@ -84,8 +84,6 @@ SQLS = {
     "s4_fan_in": "SELECT v.service, coalesce(count(e.event_id), 0) AS samples, coalesce(max(cast(floor(e.value) AS bigint)), 0) AS most FROM (VALUES ('svc-0'), ('svc-1'), ('svc-9')) AS v(service) LEFT JOIN {events} e ON 'svc-' || cast(e.user_id % 5 AS varchar(20)) = v.service GROUP BY v.service",
     # G-19: how many rows each source of the snapshot gave
     "s4_sources": "SELECT 'checks' AS source, count(*) AS n, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS state FROM {events} UNION ALL SELECT 'jobs', count(*), CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END FROM {orders} UNION ALL SELECT 'pages', count(*), CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END FROM {pages}",
-    # D-34: the ladder of retry delays, padded to attempts - 1 with its last delay, or 30
-    "s4_delay_ladder": "SELECT attempts, i, CASE WHEN i <= given THEN 10 * i WHEN given > 0 THEN 10 * given ELSE 30 END AS delay_s FROM (VALUES (2, 0), (4, 2), (5, 1)) AS v(attempts, given) CROSS JOIN (VALUES (1), (2), (3), (4)) AS n(i) WHERE i < attempts",
 }
 QUERIES = both({k: v.replace("{g}", "") for k, v in SQLS.items()})[0]
 ORACLES = both({k: v.replace("{g}", ", 'g'") for k, v in SQLS.items()})[1]

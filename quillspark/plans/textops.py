@@ -32,7 +32,7 @@ def _texts(s: bool) -> dict[str, str]:
         "s8_anagram": f"SELECT p_partkey, {ordered(chars_of('p_brand'))} = {ordered(chars_of('reverse(p_brand)'))} AS of_reverse, {ordered(chars_of('p_brand'))} = {ordered(chars_of('p_type'))} AS of_type FROM {{part}}",
         "s8_distinct_chars": f"SELECT p_partkey, length({concat_list(distinct(chars_of('p_name'), s), '', s)}) AS n FROM {{part}}",
         "s8_sums": "SELECT l_orderkey, l_linenumber, l_quantity + l_linenumber AS added, l_quantity - l_linenumber AS less, l_quantity * l_linenumber AS times, (l_quantity + l_linenumber) / 2 AS mean FROM {lineitem}",  # H-37
-        "s8_squares": "SELECT n, repeat('*', n) AS row_text, lpad(repeat('*', n), 20, ' ') AS right_aligned, repeat('*', 21 - n) AS falling FROM (VALUES (1), (2), (3), (7), (20)) AS v(n)",  # H-40
+        "s8_squares": "SELECT n, repeat('*', n) AS row_text, lpad(repeat('*', n), 20, ' ') AS right_aligned, repeat('*', 21 - n) AS falling FROM (SELECT l_linenumber + 7 * cast(floor(l_quantity / 25.0) AS int) AS n FROM {lineitem} GROUP BY l_linenumber + 7 * cast(floor(l_quantity / 25.0) AS int)) x",  # H-40
         # G-13 on arrays of words
         "s1_set_ops": f"SELECT a.item_id, {length_of(('array_intersect' if s else 'list_intersect') + '(a.t, b.t)', s)} AS shared, {length_of(filtered('a.t', 'NOT array_contains(b.t, x)' if s else 'NOT list_contains(b.t, x)', s), s)} AS only_here FROM (SELECT item_id, {distinct(words, s)} AS t FROM {{benchmark}}) a JOIN (SELECT item_id, {distinct(words, s)} AS t FROM {{benchmark}}) b ON b.item_id = a.item_id + 1",
         # E-02: the share of query words that a hit has, and the words, the weightiest first, are in s1_bm25_terms; D-33, C-24
