@@ -2,12 +2,17 @@
 
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters. All rolling word k-grams of all texts
 are hashed and joined to the positions where template notices have the same k-gram. A hit votes for the diagonal
-(document position minus template position); neighbouring diagonals, at most `slack` apart, are merged, which lets a
-copy have words added or left out; a merged span is verified by the share of the template's words that its k-grams
-cover. Beside that, base phrases are found word by word.
-
-Null and empty texts have no words and no labels. Rows that share an id share the method's labels. The templates are
-a fixed list of this module, so that side of the join has a constant size.
+(document position minus template position). Neighbouring diagonals are merged as long as the first and the last of a
+span are no further apart than a template's slack (a sixth of its words, two at least): a copy may have so many words
+added or left out in all, so its words stand in the template's order, and a span is hardly longer than the template. A
+merged span is verified by the share of the template's words that its k-grams cover. Where spans overlap, the one with
+the larger share of its template's k-grams has each word, then the longer template; a span that has fewer than half of
+its words is dropped, so of notices that differ by a word only the right one is left. Beside that, base phrases are
+found word by word.
+
+Null and empty texts have no words and no labels. A row is known by its id and a hash of its text, so rows that share
+an id, or have none, have labels of their own. The templates are a fixed list of this module, so that side of the join
+has a constant size.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from quillspark.llm.common import ascii_lower, let, table
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: The same words before lower-casing.
 RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-K, SLACK, COVER = 3, 3, 0.7
+K, SLACK, LEAST_SLACK, COVER = 3, 6, 2, 0.7
 
 #: Phrases that count by themselves, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -43,6 +48,74 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+        to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+        or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+        OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
+        SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
+        OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
+        THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+        CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+        LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND
+        ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+        OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "apache",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+        writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "gpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    ),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+        as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library
+        is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    ),
+    (
+        "mpl",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+    ),
 )
 
 
@@ -86,35 +159,48 @@ def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> Column:
 
 
 def templates(spark: SparkSession, notices=TEMPLATES, k: int = K) -> DataFrame:
-    """gram, template, label, at, n: each k-gram of each notice."""
+    """gram, template, label, at, n (words): each k-gram of each notice."""
     notes = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(notices)], "template int, label string, text string")
     grams = notes.withColumn("words", words_of(F.col("text"))).select("template", "label", F.size("words").alias("n"), F.posexplode(_grams(F.col("words"), k)).alias("at", "gram"))
     return grams
 
 
 def notice_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=TEMPLATES, k: int = K, slack: int = SLACK, cover: float = COVER) -> DataFrame:
-    """id, label, template, first_word, last_word, score of every verified span (score: the share of the notice found)."""
+    """id, text_hash, label, template, first_word, last_word, score of every verified span (score: the share of the notice's words found).
+
+    slack: a template of n words may be shifted by n / slack words within a span.
+    """
     spark = docs.sparkSession
-    grams = docs.select(F.col(id_col).alias("id"), F.posexplode(_grams(words_of(F.col(text_col)), k)).alias("pos", "gram"))
-    hits = grams.join(F.broadcast(templates(spark, notices, k)), "gram")  # the notices are constants
-    key = ["id", "template"]
-    # a diagonal may be crossed by copies far apart, so votes are kept by stretch of the document as well
+    known = templates(spark, notices, k)
+    widest = known.agg(F.max(F.greatest(F.floor(F.col("n") / slack), F.lit(LEAST_SLACK)))).first()[0] or 0  # of constants
+    grams = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(_grams(words_of(F.col(text_col)), k)).alias("pos", "gram"))
+    hits = grams.join(F.broadcast(known), "gram")  # the notices are constants
+    row, key = ["id", "text_hash"], ["id", "text_hash", "template"]
     votes = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*key, "label", "n", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    by_diagonal = Window.partitionBy(*key).orderBy("diagonal")
-    steps = votes.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > slack, F.lit(True)).cast("int"))
-    merged = steps.withColumn("span", F.sum("new").over(by_diagonal)).groupBy(*key, "label", "n", "span")
-    spans = merged.agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("low").alias("first_word"), (F.max("high") + k - 1).alias("last_word"))
+    near = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(0, int(widest))
+    met = F.collect_list(F.struct("diagonal", "ats", "low", "high")).over(near)
+    within = F.col("diagonal") + F.greatest(F.floor(F.col("n") / slack), F.lit(LEAST_SLACK))
+    merged = votes.withColumn("met", met).withColumn("met", F.filter("met", lambda m: m["diagonal"] <= within))
+    ats = F.array_distinct(F.flatten(F.transform("met", lambda m: m["ats"])))
     covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (k - 1))))))
-    return spans.withColumn("score", covered / F.col("n")).where(F.col("score") >= cover).select("id", "label", "template", "first_word", "last_word", "score")
+    spans = merged.withColumn("ats", ats).withColumn("score", covered / F.col("n")).where(F.col("score") >= cover)
+    share = F.size("ats") / (F.col("n") - (k - 1))
+    placed = spans.select(*key, "label", "n", "diagonal", "score", share.alias("share"), F.array_min(F.transform("met", lambda m: m["low"])).alias("first_word"), (F.array_max(F.transform("met", lambda m: m["high"])) + k - 1).alias("last_word"))
+    # a word goes to the best span over it; what makes spans unlike comes last, so that there is one best
+    order = F.struct("share", "n", (-F.col("template")).alias("t"), "diagonal", "label", "score", "first_word", "last_word")
+    words = placed.select(*row, order.alias("span"), F.explode(F.sequence("first_word", "last_word")).alias("word"))
+    best = words.groupBy(*row, "word").agg(F.max("span").alias("span"))
+    owners = best.groupBy(*row, "span").agg(F.count("*").alias("own")).where("2 * own >= span.last_word - span.first_word + 1")
+    return owners.select(*row, "span.label", (-F.col("span.t")).alias("template"), "span.first_word", "span.last_word", "span.score")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row for each row of docs: id, n_words, places (of phrases), method_labels, score."""
     spans = notice_spans(docs, id_col, text_col, **how)
-    labels = spans.groupBy("id").agg(F.collect_set("label").alias("method_labels"), F.max("score").alias("score")).withColumnRenamed("id", "_id")
+    labels = spans.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("label").alias("method_labels"), F.max("score").alias("score"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), phrase_places(text).alias("places"))
-    joined = base.join(labels, F.expr("id <=> _id"), "left").drop("_id")
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), phrase_places(text).alias("places"))
+    joined = base.join(labels, F.expr("id <=> _id and text_hash = _hash"), "left").drop("_id", "_hash", "text_hash")
     return joined.withColumn("method_labels", F.coalesce("method_labels", F.array().cast("array<string>"))).withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

@@ -369,3 +369,58 @@ def test_repeats_in_texts_beyond_packed_positions(spark, monkeypatch):
     usual = {r.doc_id: r.n_repeat_words for r in quality.counts(frame).collect()}
     monkeypatch.setattr(quality, "PLACE_BITS", 3)
     assert {r.doc_id: r.n_repeat_words for r in quality.counts(frame).collect()} == usual and usual[99] == 9
+
+
+def brute_spans(text):
+    """(label, first, last, score) of the spans that win, by plain loops over every diagonal."""
+    cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    words, k, spans = cut(text), licenses.K, []
+    places: dict = {}
+    for i in range(len(words) - k + 1):
+        places.setdefault(tuple(words[i : i + k]), []).append(i)
+    for t, (label, notice) in enumerate(licenses.TEMPLATES):
+        own = cut(notice)
+        hits = [(pos - at, at, pos) for at in range(len(own) - k + 1) for pos in places.get(tuple(own[at : at + k]), ())]
+        for d in {h[0] for h in hits}:
+            near = [h for h in hits if d <= h[0] <= d + max(len(own) // licenses.SLACK, licenses.LEAST_SLACK)]
+            ats = {h[1] for h in near}
+            score = len({a + j for a in ats for j in range(k)}) / len(own)
+            if score >= licenses.COVER:
+                spans.append((len(ats) / (len(own) - k + 1), len(own), -t, d, label, score, min(h[2] for h in near), max(h[2] for h in near) + k - 1))
+    best: dict = {}
+    for s in spans:
+        for w in range(s[6], s[7] + 1):
+            best[w] = max(best.get(w, s), s)
+    own = {s: sum(b == s for b in best.values()) for s in spans}
+    return {(s[4], s[6], s[7], round(s[5], 9)) for s in spans if 2 * own[s] >= s[7] - s[6] + 1}
+
+
+PROBES = {
+    "Licensed under CC BY-SA 4.0.": {"cc-by-sa"},
+    "Licensed under CC BY-NC-SA 4.0.": {"cc-by-nc-sa"},
+    "Licensed under CC BY-NC 4.0. and more. Licensed under CC BY 4.0.": {"cc-by-nc", "cc-by"},
+    " x y z ".join(" ".join(licenses.TEMPLATES[1][1].split()[i : i + 3]) for i in range(0, 18, 3)): set(),
+    licenses.TEMPLATES[19][1].replace("Permission", "(c) 2020 A. Author\n\n Permission").replace("persons", "people"): {"mit"},
+    licenses.TEMPLATES[24][1]: {"lgpl"},
+    licenses.TEMPLATES[23][1] + " And. " + licenses.TEMPLATES[21][1]: {"gpl", "bsd"},
+    "Permission is hereby granted, free of charge, to any person": set(),
+}
+
+
+def test_license_labels_are_true(spark):
+    texts = list(PROBES)
+    half = licenses.TEMPLATES[1][1].split()
+    rows = [*enumerate(texts), (None, " ".join(half[:9])), (None, " ".join(half[9:])), (None, texts[0]), (0, "a text that shares the id of another"), (50, None), (51, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit("s"), "template": F.lit(1), "score": F.lit("x")})
+    got = [(r.id, r.n_words, set(r.method_labels)) for r in licenses.scan(frame).collect()]
+    wanted = [(i, t, PROBES.get(t, set())) for i, t in rows]
+    assert sorted((str(i), sorted(x)) for i, _, x in got) == sorted((str(i), sorted(x)) for i, _, x in wanted)
+
+
+def test_license_spans_equal_brute_force(spark, docs):
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(PROBES)], "doc_id long, text string"))
+    got: dict = {}
+    for r in licenses.notice_spans(some).collect():
+        got.setdefault(r.id, set()).add((r.label, r.first_word, r.last_word, round(r.score, 9)))
+    wanted = {r.doc_id: s for r in some.collect() if (s := brute_spans(r.text))}
+    assert got == wanted and len(wanted) > 5
