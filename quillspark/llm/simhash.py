@@ -1,9 +1,11 @@
 """Near-duplicate documents by SimHash fingerprints and deletion-variant signatures.
 
 Two forms: exact links of 64-bit fingerprints within a few bits (near_duplicates), and links of texts whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more (similar_documents). The latter finds pairs by 378-bit
+five-word shingles have a Jaccard similarity of 0.8 or more (similar_documents). The latter finds pairs by 252-bit
 fingerprints and verifies them on the sets. At 0.8 so many bits differ that no choice of segments holds one of one bit or
-less for certain, so long fingerprints with many segments make it likely.
+less for certain, so long fingerprints with many segments make it likely. Each segment is looked up together with an
+anchor, the smallest of the set's hashes in an order of the segment's own: texts that have nothing in common share no
+anchor, so they never meet, however many there are, and candidates grow with the texts, not with their pairs.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows keep their places: every input
 row has one output row. Extra columns of the input are ignored.
@@ -27,10 +29,10 @@ BITS = 64
 #: Distinct fingerprints up to which so many pieces keep signature buckets small.
 PIECES = ((4_000_000, 3), (400_000_000, 5), (float("inf"), 6))
 #: Long fingerprints: words of 63 bits, segments of a word and bits of a segment.
-WORDS, PER_WORD, SEGMENT = 6, 3, 21
+WORDS, PER_WORD, SEGMENT = 4, 4, 15
 #: Similarity that links two texts, and most bits of long fingerprints in which pairs worth verifying differ: at 0.8
-#: about 55 bits differ if a segment agrees, with a standard deviation of 7.
-SIMILARITY, WIDE_DISTANCE = 0.8, 70
+#: about 37 bits differ if a segment agrees, with a standard deviation of 6.
+SIMILARITY, WIDE_DISTANCE = 0.8, 52
 #: Pairs of one text that meet its shingle set in one place; a text in more pairs has its set copied.
 PAIRS_A_COPY = 1000
 
@@ -81,6 +83,19 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > len(hashes)).view(np.uint64).astype(np.uint64) >> np.uint64(1)
 
 
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """For each segment the smallest hash of a set in an order of the segment's own; zeros for an empty set.
+
+    Two sets have the same with a probability of their Jaccard similarity.
+    """
+    out = np.zeros(WORDS * PER_WORD, np.uint64)
+    if len(hashes):
+        for k in range(len(out)):
+            mixed = hashes * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+            out[k] = (mixed ^ mixed >> np.uint64(32)).min()
+    return out
+
+
 def set_key(hashes: np.ndarray) -> int:
     """A hash of a whole shingle set, as a signed long."""
     key = xxhash.xxh64_intdigest(hashes.tobytes())
@@ -180,21 +195,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """id, text_hash, fp (a hash of the shingle set), n (its size), words (the long fingerprint) for every row of docs."""
+    """id, text_hash, fp (a hash of the shingle set), n (its size), words (the long fingerprint), anchors for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bounds, data = utf8_buffers(batch.column(2))
-            out = np.zeros((batch.num_rows, WORDS), np.uint64)
+            out, least = np.zeros((batch.num_rows, WORDS), np.uint64), np.zeros((batch.num_rows, WORDS * PER_WORD), np.uint64)
             keys, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
                 hashes = shingle_set(data[bounds[i] : bounds[i + 1]].tobytes(), width)
-                out[i], keys[i], sizes[i] = wide_fingerprint(hashes), set_key(hashes), len(hashes)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, WORDS, dtype=np.int32)), pa.array(out.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(sizes), lists], names=["id", "text_hash", "fp", "n", "words"])
+                out[i], least[i], keys[i], sizes[i] = wide_fingerprint(hashes), anchors(hashes), set_key(hashes), len(hashes)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(np.int64).reshape(-1))) for x in (out, least)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(sizes), *lists], names=["id", "text_hash", "fp", "n", "words", "anchors"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, text_hash long, fp long, n long, words array<long>")
+    return source.mapInArrow(run, "id long, text_hash long, fp long, n long, words array<long>, anchors array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text", width: int = 5) -> DataFrame:
@@ -219,8 +234,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text", wid
 
 
 def _segments(fps: DataFrame) -> DataFrame:
-    """fps with block and seg, a row for each segment of the long fingerprint."""
-    each = fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(WORDS * PER_WORD - 1))).alias("block"))
+    """fps with block, anchor and seg, a row for each segment of the long fingerprint."""
+    each = fps.select("*", F.posexplode("anchors").alias("block", "anchor")).drop("anchors")
     return each.withColumn("seg", F.expr(f"shiftright(words[cast(block div {PER_WORD} AS int)], {SEGMENT} * (block % {PER_WORD})) & {(1 << SEGMENT) - 1}L")).drop("words")
 
 
@@ -255,22 +270,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text_col: str
 
 
 def link_wide(fps: DataFrame, docs: DataFrame, text_col: str = "text", distance: int = WIDE_DISTANCE, width: int = 5) -> DataFrame:
-    """fp, component for the shingle sets that have a similar one (fps: fp, n, words, text_hash; distinct, materialised).
+    """fp, component for the shingle sets that have a similar one (fps: fp, n, words, anchors, text_hash; distinct, materialised).
 
     As in link_fingerprints: buckets of equal segments link their members to the smallest one, then one-wildcard variants
-    of segments are joined where components still differ; links of both kinds are verified. Two texts of a similarity of
-    0.8, 0.85 or 0.9 share a segment but for one bit with a probability of 0.95, 0.99 or over 0.999.
+    of segments are joined where components still differ; links of both kinds are verified. Segments and variants are
+    told apart by their anchors as well. Two texts of a similarity of 0.8, 0.85 or 0.9 share an anchor and its segment but
+    for one bit with a probability of 0.99, 0.998 or over 0.999.
     """
-    texts, fps = fps.select("fp", "text_hash"), fps.select("fp", "n", "words")
-    plain = _segments(fps.drop("n"))
-    hubs = plain.groupBy("block", "seg").agg(F.min("fp").alias("b"), F.max("fp").alias("last")).where("b <> last").drop("last")
-    stars = plain.join(broadcast_if_small(materialize(hubs)), ["block", "seg"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    texts, signed, fps = fps.select("fp", "text_hash"), fps.select("fp", "words", "anchors"), fps.select("fp", "n", "words")
+    plain = _segments(signed).select("fp", F.xxhash64("block", "anchor", "seg").alias("key"))
+    hubs = plain.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("last")).where("b <> last").drop("last")
+    stars = plain.join(broadcast_if_small(materialize(hubs)), "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     near = materialize(_verified(materialize(_wide_near(stars, fps, distance)), docs, texts, text_col, width))
     first = materialize(connected_components(near, rough_rounds=2))
-    labelled = fps.join(broadcast_if_small(first.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "words", F.coalesce("component", "fp").alias("c"))
-    # a variant without a bit meets only such as have the other bit there; the key holds block, wildcard and the rest
+    labelled = signed.join(broadcast_if_small(first.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "words", "anchors", F.coalesce("component", "fp").alias("c"))
+    # a variant without a bit meets only such as have the other bit there; the key is of block, anchor, wildcard and the rest
     index = _segments(materialize(labelled)).select("*", F.explode(F.sequence(F.lit(-1), F.lit(SEGMENT - 1))).alias("wild"))
-    key = F.expr("shiftleft(cast(block AS long), 40) | shiftleft(cast(wild + 1 AS long), 32) | CASE WHEN wild < 0 THEN seg ELSE seg & ~shiftleft(1L, wild) END")
+    key = F.expr("xxhash64(block, anchor, wild, CASE WHEN wild < 0 THEN seg ELSE seg & ~shiftleft(1L, wild) END)")
     index = index.select("fp", "c", "wild", key.alias("key"), F.expr("(seg & shiftleft(1L, greatest(wild, 0))) <> 0").alias("bit"))
     left = index.where("wild < 0 or not bit").select("key", F.col("fp").alias("a"), F.col("c").alias("ca"))
     right = index.where("wild < 0 or bit").select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
@@ -286,7 +302,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts without words are alike. Ids are treated as near_duplicates does.
     """
     prints = materialize(wide_fingerprints(docs, id_col, text_col, width))
-    distinct = materialize(prints.groupBy("fp").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.min("id").alias("least"), F.min("text_hash").alias("text_hash")))
+    distinct = materialize(prints.groupBy("fp").agg(F.first("words").alias("words"), F.first("anchors").alias("anchors"), F.first("n").alias("n"), F.min("id").alias("least"), F.min("text_hash").alias("text_hash")))
     linked = materialize(link_wide(distinct.drop("least"), docs, text_col, distance, width))
     groups = distinct.select("fp", "least").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))

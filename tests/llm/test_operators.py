@@ -82,12 +82,14 @@ def test_simhash_links_every_near_fingerprint(spark):
 
 
 def brute_similar(texts: dict) -> dict:
-    """Smallest id reachable over pairs of a Jaccard similarity of 0.8, near by bits, with a segment but for one bit in common."""
+    """Smallest id reachable over pairs of a Jaccard similarity of 0.8, near by bits, with an anchor and its segment but for one bit in common."""
     sets = {}
     for i, t in texts.items():
         words = t.lower().split()
         sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
     prints = {i: [int(x) for x in simhash.wide_fingerprint(simhash.shingle_set(t))] for i, t in texts.items()}
+    least = {i: simhash.anchors(simhash.shingle_set(t)).tolist() for i, t in texts.items()}
+    bits, own = simhash.SEGMENT, simhash.PER_WORD
     parent = {i: i for i in prints}
 
     def find(x):
@@ -100,7 +102,7 @@ def brute_similar(texts: dict) -> dict:
         for j in ids[:n]:
             other = [x ^ y for x, y in zip(prints[i], prints[j], strict=True)]
             alike = sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-            if alike and sum(x.bit_count() for x in other) <= simhash.WIDE_DISTANCE and any((x >> s & (1 << 21) - 1).bit_count() <= 1 for x in other for s in (0, 21, 42)):
+            if alike and sum(x.bit_count() for x in other) <= simhash.WIDE_DISTANCE and any(least[i][k] == least[j][k] and (other[k // own] >> bits * (k % own) & (1 << bits) - 1).bit_count() <= 1 for k in range(len(least[i]))):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -424,3 +426,26 @@ def test_license_spans_equal_brute_force(spark, docs):
         got.setdefault(r.id, set()).add((r.label, r.first_word, r.last_word, round(r.score, 9)))
     wanted = {r.doc_id: s for r in some.collect() if (s := brute_spans(r.text))}
     assert got == wanted and len(wanted) > 5
+
+
+def test_recall_of_similar_documents(spark):
+    """Of pairs whose similarity is a little over 0.8, nearly all are linked; texts that share a passage only are not."""
+    import random  # noqa: PLC0415
+
+    rng, rows, alike = random.Random(11), [], []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(8):  # about forty shingles of 396 change
+            words[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(words)))
+        a, b = ({*zip(*(t.split()[k:] for k in range(5)), strict=False)} for _, t in rows[-2:])
+        alike.append(len(a & b) / len(a | b))
+    passage = " ".join(f"p{k}" for k in range(120))
+    rows += [(10_000 + i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(200))) for i in range(200)]
+    got = {r.id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    over = [i for i, x in enumerate(alike) if x >= 0.8]
+    assert len(over) > 100 and min(alike[i] for i in over) < 0.82
+    assert sum(got[2 * i] == got[2 * i + 1] for i in over) >= 0.95 * len(over)
+    assert not any(got[2 * i] == got[2 * i + 1] for i, x in enumerate(alike) if x < 0.8)
+    assert all(got[10_000 + i] == 10_000 + i for i in range(200))
