@@ -103,6 +103,46 @@ def export(df: DataFrame, folder: str, name: str, kind: str = "csv", limit: int
     return path
 
 
+#: The names that a case's fields have in a test-case file.
+CASE_FIELDS = dict(zip(("issue_type", "issue_key", "summary", "description", "priority", "module", "labels", "test_type", "preconditions", "steps", "expected_result", "browser", "device", "status"), CASE_COLUMNS, strict=True))
+_SHOWN = ("issue_key", "module", "test_type", "priority", "status", "browser", "device", "summary")
+
+
+def case_file_rows(cases: DataFrame) -> DataFrame:
+    """Cases under the fourteen names of a test-case file, in its order; fields that cases lack are empty (B-06)."""
+    return cases.select(*[(F.col(f"`{c}`").cast("string") if c in cases.columns else F.lit("")).alias(name) for c, name in CASE_FIELDS.items()])
+
+
+def export_cases(cases: DataFrame, folder: str, name: str, kind: str = "csv", limit: int = 200, title: str = "all modules") -> str:
+    """Writes at most limit cases as csv (the original fourteen columns), json or md (a table with its header) and returns the path (A-13)."""
+    if kind not in ("csv", "json", "md"):
+        raise ValueError(f"unknown format: {kind}; valid: csv, json, md")
+    if kind != "md":
+        return export(case_file_rows(cases) if kind == "csv" else cases, folder, name, kind, limit)
+    path = f"{folder.rstrip('/')}/{safe_name(name)}"
+    some, total = cases.limit(limit), cases.count()
+    names = [w.replace("_", " ").title() for w in _SHOWN]
+    head = [f"# Test cases — {title}", "", f"- Rows exported: {min(limit, total)} of {total} matched", "", f"| {' | '.join(names)} |", f"|{' --- |' * len(names)}"]
+    lines = cases.sparkSession.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "_at long, value string")
+    cells = [F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"\|", "\\\\|") for c in _SHOWN]
+    rows = some.select(F.monotonically_increasing_id().alias("_at"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    lines.unionByName(rows).coalesce(1).sortWithinPartitions("_at").select("value").write.mode("overwrite").text(path)  # limit rows and the head
+    return path
+
+
+def export_skills(files: DataFrame, folder: str, name: str, kind: str = "md") -> str:
+    """Writes skill files (pack, folder, text) as one text file each pack (md) or as rows (json) and returns the path (A-14)."""
+    path = f"{folder.rstrip('/')}/{safe_name(name)}"
+    if kind == "json":
+        files.write.mode("overwrite").json(path)
+    elif kind == "md":
+        told = F.concat(F.lit("<!-- "), F.concat_ws("/", "pack", F.nullif("folder", F.lit(""))), F.lit(" -->\n"), F.col("text"))
+        files.select("pack", "folder", told.alias("value")).repartition("pack").sortWithinPartitions("pack", "folder").select("pack", "value").write.mode("overwrite").partitionBy("pack").text(path)
+    else:
+        raise ValueError(f"unknown format: {kind}; valid: json, md")
+    return path
+
+
 def read_markdown(spark: SparkSession, folder: str, name: str = "SKILL.md") -> DataFrame:
     """path, front (map of the scalar front-matter keys), body of every such file below folder."""
     raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select("value", F.col("_metadata.file_path").alias("path"))

@@ -275,3 +275,42 @@ def test_snapshot_needs_one_source(spark):
     assert rows == {"a": (True, 5), "b": (False, 0), "c": (False, 0)}
     with pytest.raises(RuntimeError, match="no source"):
         toolbox.snapshot(spark, {"b": bad})
+
+
+# the data source
+
+
+def test_skill_folders_as_a_source(spark, tmp_path):
+    from quillspark.sources.skillsource import register  # noqa: PLC0415
+
+    texts = {"web/cypress/SKILL.md": "---\nname: cypress\n---\n# Cypress\n## When to use\n- flaky é\n", "web/cypress/ref/a.txt": "a", "web/cypress/b.txt": "b", "api/SKILL.md": "---\nname: api\n---\nbody", "api/other.md": "x", "empty/none.txt": ""}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    register(spark)
+    found = spark.read.format("skillfolder").load(str(tmp_path))
+    got = {r.pack: (r.folder, r.text, r.extra_files) for r in found.collect()}
+    assert got == {"web": ("cypress", texts["web/cypress/SKILL.md"], ["b.txt", "ref/a.txt"]), "api": ("", texts["api/SKILL.md"], ["other.md"])}
+    scalars, _, body = front_matter(F.col("text"))
+    assert {(r.n, tuple(r.u)) for r in found.select(scalars["name"].alias("n"), use_when(body).alias("u")).collect()} == {("cypress", ("flaky é",)), ("api", ())}
+    one = found.where("pack = 'web'")
+    assert one.rdd.getNumPartitions() == 1 and found.rdd.getNumPartitions() == 3 and [r.folder for r in one.collect()] == ["cypress"]
+    assert found.where("pack in ('api', 'none')").rdd.getNumPartitions() == 1 and found.where("pack = 'none'").count() == 0
+    assert found.where("pack = 'web' and folder = 'x'").count() == 0
+
+
+def test_case_exports(spark, catalogue, tmp_path):
+    from quillspark.sources.files import CASE_COLUMNS, export_cases, export_skills, read_cases  # noqa: PLC0415
+
+    hits = catalogue.query(module="BUILDING").orderBy("key_num")
+    back = read_cases(spark, export_cases(hits, str(tmp_path), "../cases.csv", limit=5))
+    assert back.columns == list(CASE_COLUMNS) and back.count() == 5 and {r.Component for r in back.collect()} == {"BUILDING"}
+    odd = hits.limit(2).withColumn("summary", F.lit("a | b"))
+    lines = [r.value for r in spark.read.text(export_cases(odd, str(tmp_path), "cases.md", "md", title="BUILDING")).collect()]
+    assert lines[0] == "# Test cases — BUILDING" and lines[4].startswith("| Issue Key | Module |") and len(lines) == 8 and lines[6].endswith("| a \\| b |")
+    with pytest.raises(ValueError, match="valid"):
+        export_cases(hits, str(tmp_path), "x", "xml")
+    files = spark.createDataFrame([("web", "b", "# B"), ("web", "a", "# A"), ("api", "", "# C")], "pack string, folder string, text string")
+    told = spark.read.text(export_skills(files, str(tmp_path), "skills"), wholetext=True)
+    assert {r.pack: r.value for r in told.collect()} == {"web": "<!-- web/a -->\n# A\n<!-- web/b -->\n# B\n", "api": "<!-- api -->\n# C\n"}
+    assert spark.read.json(export_skills(files, str(tmp_path), "rows", "json")).count() == 3
