@@ -33,7 +33,7 @@ def _hybrid_all(spark, sf_dir):
     unmet = written(items.join(keyword.select("item_id").distinct(), "item_id", "left_anti"))
     docs = table(spark, sf_dir, "documents").select("doc_id")
     every = in_blocks(unmet, F.lit(16), lambda block: docs.join(block, F.lit(True)).select("item_id", "doc_id", F.lit(0.0).alias("score")))
-    scores = retrieval.similarities(spark, sf_dir).drop("products").withColumn("item_id", F.when(F.col("item_id") == 0, -1).otherwise(F.col("item_id")))
+    scores = retrieval.similarities(spark, sf_dir).withColumn("item_id", F.when(F.col("item_id") == 0, -1).otherwise(F.col("item_id")))
     vector = written(scores.join(docs, "doc_id", "left_semi"))
     return fused_top(keyword.unionByName(every), vector, 10)
 
@@ -89,7 +89,7 @@ def _texts(s: bool) -> dict[str, str]:
 
 
 _SPARK, _DUCK = _texts(True), _texts(False)
-QUERIES = {name: (lambda spark, sf_dir, sql=sql: on_spark(spark, sf_dir, sql)) for name, sql in _SPARK.items()}
+QUERIES = {name: (lambda spark, sf_dir, sql=sql: retrieval._over_tokens(spark, sf_dir, sql)) for name, sql in _SPARK.items()}
 ORACLES = {name: on_duckdb(sql) for name, sql in _DUCK.items()}
 
 
