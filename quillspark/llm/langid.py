@@ -179,16 +179,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of all documents."""
     docs = table(spark, sf_dir, "documents")
-    found = predict(spark, docs.select("doc_id", "text"), fit(docs))
+    found = predict(spark, docs.select("doc_id", "text"), fit(docs.where("doc_id is not null")))  # a row without id has no remainder
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that have no letter in them; lang is what the text says where it was missing."""
     small_batches(spark)
-    found = predict(spark, docs.select("*", F.col("text").alias("_text")), fit(docs), "_text")
-    kept = found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return kept.select(docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    kept = predict(spark, whole, fit(docs)).where("lang_pred <> 'und'")
+    return kept.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op3_language_id": op3_language_id}

@@ -449,3 +449,12 @@ def test_recall_of_similar_documents(spark):
     assert sum(got[2 * i] == got[2 * i + 1] for i in over) >= 0.95 * len(over)
     assert not any(got[2 * i] == got[2 * i + 1] for i, x in enumerate(alike) if x < 0.8)
     assert all(got[10_000 + i] == 10_000 + i for i in range(200))
+
+
+def test_language_stage_leaves_other_columns_alone(spark, docs):
+    """Columns with the names of the prediction's own stay what they were."""
+    frame = docs.limit(40).withColumns({"score": F.lit("s"), "lang_pred": F.lit("p"), "_judged": F.lit("j"), "row": F.lit("r")}).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    got = langid.stage(spark, frame, SMALL)
+    assert got.columns == frame.columns
+    rows = got.collect()
+    assert rows and all((r.score, r.lang_pred, r._judged, r.row) == ("s", "p", "j", "r") and r.lang for r in rows)
