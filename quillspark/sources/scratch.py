@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder only where that setting is missing (tests)."""
+    """A new path below spark.checkpoint.dir; below a temporary folder only where that setting is missing on a local master (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
