@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.plans import catalogue, details, jobs, monitoring, normalise, retrieval, retry, series, skilldocs, skills, textops, tickets, toolbox
+from quillspark.plans import catalogue, details, jobs, monitoring, normalise, payloads, retrieval, retry, series, skilldocs, skills, textops, tickets, toolbox
 from quillspark.streaming import health, incidents, lifecycle, upserts
 
-MODULES: tuple = (catalogue, monitoring, normalise, jobs, retrieval, textops, skills, health, incidents, lifecycle, upserts, tickets, skilldocs, retry, series, toolbox, details)
+MODULES: tuple = (catalogue, monitoring, normalise, jobs, retrieval, textops, skills, health, incidents, lifecycle, upserts, tickets, skilldocs, retry, series, toolbox, details, payloads)
 
 
 def queries() -> dict:
