@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Line ends that finish a paragraph, lines that are page furniture, bullets.
+#: What ends a sentence or a clause.
 TERMINAL = r"[.:;!?”\")…]$"
 PAGE_NOISE = r"(?i)^\s*(page\s+\d+(\s*(of|/)\s*\d+)?|\d{1,3}|\|\s*\d+\s*\|)\s*$"
 BULLET = r"^\s*(?:[●•▪◦‣]|[-*–—]|\d{1,2}[.)]|[a-z][.)])\s+"

@@ -51,7 +51,7 @@ SQLS = {
     "s2_variants_of": f"{W}, asked AS (SELECT issue_key, design_key FROM cases WHERE issue_key IN ('TC-7', 'TC-64')) SELECT a.issue_key, b.issue_key AS sibling, b.browser, b.device FROM asked a JOIN cases b ON a.design_key = b.design_key AND a.issue_key <> b.issue_key",
     "s2_browser_devices": f"{W} SELECT design_key, browser, count(DISTINCT device) AS devices, min(device) AS first_device FROM cases GROUP BY design_key, browser",
     "s2_validate": f"{W} SELECT count(*) AS n_rows, count(*) - count(DISTINCT issue_key) AS duplicate_keys, count(CASE WHEN trim(summary) = '' THEN 1 END) AS blank_summaries, count(CASE WHEN priority NOT IN ('Highest', 'High', 'Medium', 'Low') THEN 1 END) AS unknown_priorities, count(DISTINCT test_type) AS types FROM cases",
-    # C-31, H-20: what stands after the first colon; H-21: file names
+    # H-20: what stands after the first colon; H-21: file names
     "s2_object_under_test": f"{W} SELECT issue_key, CASE WHEN position(':' IN s) > 0 THEN trim(substr(s, position(':' IN s) + 1)) ELSE s END AS object_under_test, regexp_replace(s, '[^A-Za-z0-9._-]', '_'{{g}}) AS file_name FROM (SELECT issue_key, test_type || ': ' || summary AS s FROM cases) x",
 }
 QUERIES, ORACLES = both({k: v.replace("{g}", "") for k, v in SQLS.items()})

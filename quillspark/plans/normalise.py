@@ -65,6 +65,7 @@ def slug(column: str) -> str:
 
 
 _DERIVED = "CASE WHEN stated <> 'UNKNOWN' OR http_status IS NULL THEN stated WHEN http_status >= 400 THEN 'DOWN' WHEN response_ms > 3000 THEN 'SLOW' ELSE 'HEALTHY' END"
+#: The needles of kinds and of error classes, in the order in which they are tried.
 _KIND = "CASE WHEN position('START' IN u) > 0 OR position('FAIL' IN u) > 0 THEN 'failure' WHEN position('RETRY' IN u) > 0 THEN 'retry' WHEN position('SCHEDULE' IN u) > 0 THEN 'schedule' WHEN position('RECOVER' IN u) > 0 OR position('RESOLV' IN u) > 0 THEN 'recovery' WHEN position('INCIDENT' IN u) > 0 THEN 'incident' ELSE 'info' END"
 _ERROR = """CASE WHEN position('402' IN error) > 0 OR position('payment' IN l) > 0 OR position('billing' IN l) > 0 OR position('quota' IN l) > 0 THEN 'billing' WHEN position('403' IN error) > 0 OR position('forbidden' IN l) > 0 OR position('unauthorized' IN l) > 0 OR position('401' IN error) > 0 THEN 'access'
     WHEN position('429' IN error) > 0 OR position('rate limit' IN l) > 0 OR position('too many requests' IN l) > 0 THEN 'rate' WHEN position('not found' IN l) > 0 AND position('model' IN l) > 0 THEN 'model' ELSE 'other' END"""

@@ -115,7 +115,7 @@ def _texts(s: bool) -> dict[str, str]:
         # B-10, B-11: filter by pack and phase, whatever the case; look-up by name, else by folder
         "s3_filter": f"{w} SELECT name, pack, phase FROM skills WHERE lower(coalesce(pack, '')) = lower('SRC3') AND lower(coalesce(phase, '')) = 'en'",
         "s3_lookup": f"{w}, asked AS (SELECT * FROM (VALUES ('src1-101'), ('src3/103'), ('nothing')) AS v(k)) SELECT k, name, how FROM (SELECT k, name, CASE WHEN name = k THEN 'name' ELSE 'folder' END AS how, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN name = k THEN 0 ELSE 1 END, name) AS rn FROM asked JOIN skills ON name = k OR pack || '/' || cast(id AS varchar(20)) = k) x WHERE rn = 1",
-        # C-27, E-23: first sentence, title, triggers and the first four bullets of a section
+        # C-27: first sentence, title, triggers
         "s3_cards": f"{w} SELECT name, title, {_sentence(s)} AS first_sentence, triggers FROM skills",
         # E-22: phases with the number that leads their folder, 99 where there is none
         "s3_phases": f"{w}, f AS (SELECT CASE WHEN quality = 1 THEN cast(id % 7 AS varchar(20)) || '_' || phase ELSE phase END AS folder FROM skills) SELECT folder, coalesce(cast(nullif(regexp_extract(folder, '^([0-9]+)', 1), '') AS int), 99) AS pos, count(*) AS n FROM f GROUP BY folder",

@@ -24,7 +24,7 @@ def _texts(s: bool) -> dict[str, str]:
         "s1_preview": f"SELECT doc_id, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 120)) || '…' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' '{g})) AS t FROM {{documents}}) x",  # C-07
         "s1_paragraphs": f"SELECT doc_id, {length_of(paragraphs, s)} AS paragraphs, {longest} AS longest FROM {{documents}}",  # C-09
         "s1_highlight": f"SELECT doc_id, md5(marked) AS marked_md5, cast((length(marked) - length(text)) / 13 AS int) AS marks FROM (SELECT doc_id, text, regexp_replace(text, '(?i)(license|worthless)', '<mark>{mark}</mark>'{g}) AS marked FROM {{documents}}) x",  # C-34
-        "s1_collections": "SELECT source, substr(sha1(source || '|800|150|' || lang), 1, 8) AS fingerprint, count(*) AS n FROM {documents} GROUP BY source, lang",  # C-19, B-17
+        "s1_collections": "SELECT source, substr(sha1(source || '|800|150|' || lang), 1, 8) AS fingerprint, count(*) AS n FROM {documents} GROUP BY source, lang",  # C-19
         "s1_grounded": "SELECT doc_id, position('worthless' IN lower(text)) = 0 AS grounded FROM {documents}",  # E-25
         "s6_template": "SELECT c_custkey, replace(replace(replace('Story {{key}}: {{summary}} ({{segment}})', '{{key}}', cast(c_custkey AS varchar(20))), '{{summary}}', c_name), '{{segment}}', c_mktsegment) AS prompt FROM {customer}".replace("{{", "<").replace("}}", ">"),  # C-30
         "s7_response": "SELECT event_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), 'none') AS answer FROM (SELECT event_id, " + ("get_json_object(props, '$.text') AS a, get_json_object(props, '$.k') AS b" if s else "json_extract_string(props, '$.text') AS a, json_extract_string(props, '$.k') AS b") + " FROM {events}) x",  # H-24

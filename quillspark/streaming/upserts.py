@@ -45,10 +45,10 @@ def vector_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.listing().select("name", "width", "rows")
 
 
-QUERIES = {"st_upsert_latest": latest_by_user, "s1_collections": vector_collections}
+QUERIES = {"st_upsert_latest": latest_by_user, "s1_vector_collections": vector_collections}
 ORACLES = {
     "st_upsert_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "s1_collections": """SELECT name, width, rows FROM (SELECT 'rag_all' AS name, max(len(embedding))::INTEGER AS width, count(*) AS rows FROM embeddings
+    "s1_vector_collections": """SELECT name, width, rows FROM (SELECT 'rag_all' AS name, max(len(embedding))::INTEGER AS width, count(*) AS rows FROM embeddings
     UNION ALL SELECT 'rag_thinned', max(len(embedding))::INTEGER, count(*) FROM embeddings WHERE vec_id % 3 <> 0
     UNION ALL SELECT 'rag_rebuilt', max(len(embedding))::INTEGER, count(*) FROM embeddings WHERE vec_id % 5 = 0)""",
 }
