@@ -68,7 +68,7 @@ QUERIES = {
     "s2_tool_designs": lambda spark, sf_dir: _joined(tools(spark, sf_dir).designs(min_priority="High"), "browsers", "devices", "statuses"),
     "s2_tool_duplicates": lambda spark, sf_dir: tools(spark, sf_dir).duplicates(module="MACHINERY", min_row_count=3).withColumn("issue_keys", F.md5(F.array_join("issue_keys", ",").cast("binary"))),
     "s2_tool_devices": lambda spark, sf_dir: tools(spark, sf_dir).device_map().select("design_key", F.explode("devices").alias("browser", "d")).select("design_key", "browser", F.array_join("d", ",").alias("devices")),
-    "s2_tool_gaps": lambda spark, sf_dir: tools(spark, sf_dir).coverage_gaps(min_cases=160, test_types=["API", "Security"]),
+    "s2_tool_gaps": lambda spark, sf_dir: tools(spark, sf_dir).coverage_gaps(min_cases=340, test_types=["API", "Security"]),
     "s2_tool_integrity": _integrity,
     "s4_dashboard": _dashboard,
 }
@@ -91,7 +91,7 @@ ORACLES = {
     "s2_tool_devices": on_duckdb(f"{_W} SELECT design_key, browser, array_to_string(list_sort(list(DISTINCT device)), ',') AS devices FROM cases GROUP BY design_key, browser"),
     "s2_tool_gaps": on_duckdb(
         f"""{_W}, m AS (SELECT DISTINCT module FROM cases), n AS (SELECT module, test_type, count(*) AS n FROM cases GROUP BY module, test_type)
-    SELECT m.module, t.test_type, coalesce(n, 0) AS cases, CASE WHEN n IS NULL THEN 'missing' ELSE 'thin' END AS kind FROM m, (VALUES ('API'), ('Security')) AS t(test_type) LEFT JOIN n ON n.module = m.module AND n.test_type = t.test_type WHERE coalesce(n, 0) < 160"""
+    SELECT m.module, t.test_type, coalesce(n, 0) AS cases, CASE WHEN n IS NULL THEN 'missing' ELSE 'thin' END AS kind FROM m, (VALUES ('API'), ('Security')) AS t(test_type) LEFT JOIN n ON n.module = m.module AND n.test_type = t.test_type WHERE coalesce(n, 0) < 340"""
     ),
     "s2_tool_integrity": on_duckdb(
         f"{_W} SELECT 'n_rows' AS metric, count(*) AS n FROM cases "
