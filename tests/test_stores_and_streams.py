@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from quillspark.operators import vectorindex
 from quillspark.plans import monitoring
 from quillspark.sources.store import Collections, KeyedStore, upsert_stream
 from quillspark.streaming.lifecycle import check_stream, run_incidents
+from tests.oracle import same_rows
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -186,3 +188,17 @@ def test_incidents_from_many_files_in_any_order(spark, tmp_path):
     wanted = {(r.environment, r.service, r.incident_id, r.failures, int((r.recovered - r.started).total_seconds() + 0.5)) for r in batch.collect() if r.recovered < final}
     assert {(r.environment, r.service, r.incident_id, r.failures, r.duration_s) for r in got.collect()} == wanted and len(wanted) > 50
     assert check_stream(spark, str(folder / "part*"), schema).isStreaming
+
+
+def test_incidents_of_checks_within_a_millisecond(spark, tmp_path):
+    """Checks of one millisecond come in the order of their microseconds, and times go to the nearest millisecond."""
+    start = dt.datetime(2024, 3, 1)
+    at = [(900, "click"), (1_000_400, "error"), (1_000_100, "error"), (1_000_300, "click"), (1_000_200, "error"), (2_000_300, "error"), (4_500_000, "click"), (3 * 86_400_000_000, "click")]
+    events = [(i, start + dt.timedelta(microseconds=us), 0, kind, 5.0, '{"k": 1}') for i, (us, kind) in enumerate(at)]
+    schema = spark.read.parquet(f"{SMALL}/events.parquet").schema
+    spark.createDataFrame(events, schema).repartition(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("st_incident_lifecycle", "s4_incident_durations"):
+        same_rows(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name])
+    assert sorted((r.incident_id, r.failures, r.duration_s) for r in registry.queries()["st_incident_lifecycle"](spark, str(tmp_path)).collect()) == [("INC-1", 2, 4), ("INC-2", 2, 0)]
