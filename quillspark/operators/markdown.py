@@ -48,11 +48,15 @@ def front_matter(text: Column) -> tuple[Column, Column, Column]:
         value = F.when(rest.isin(*FOLDED), F.array_join(content, " ")).when(rest.isin(*LITERAL), F.array_join(content, "\n")).when(~is_map, _unquoted(rest))
         return F.struct(key.alias("key"), value.alias("value"), F.when(is_map, _last_of_each(nested)).alias("nested"))
 
-    every = F.transform(parts, parsed)
-    last = F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda x: x["key"] == e["key"]))
-    scalars = F.map_from_entries(F.transform(F.filter(last, lambda e: e["nested"].isNull()), lambda e: F.struct(e["key"], e["value"])))
-    maps = F.map_from_entries(F.transform(F.filter(last, lambda e: e["nested"].isNotNull()), lambda e: F.struct(e["key"], e["nested"])))
-    return scalars, maps, body
+    def maps_of(every: Column) -> Column:
+        last = F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda x: x["key"] == e["key"]))
+        scalars = F.map_from_entries(F.transform(F.filter(last, lambda e: e["nested"].isNull()), lambda e: F.struct(e["key"], e["value"])))
+        maps = F.map_from_entries(F.transform(F.filter(last, lambda e: e["nested"].isNotNull()), lambda e: F.struct(e["key"], e["nested"])))
+        return F.struct(scalars.alias("scalars"), maps.alias("maps"))
+
+    # an array of one, so that the lines are read once and not for every key
+    found = F.get(F.transform(F.array(F.transform(parts, parsed)), maps_of), F.lit(0))
+    return found["scalars"], found["maps"], body
 
 
 def section(body: Column, heading: str) -> Column:

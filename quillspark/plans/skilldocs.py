@@ -30,7 +30,7 @@ def skill_files(spark, sf_dir):
     text = (
         "'---\\n# a comment: skipped\\nname: \"' || name || '\"\\ndescription: >-\\n  ' || " + lines("\\n\\n  ") + " || '\\nstray\\n  text: ignored\\nlicense:   MIT  \\nmetadata:\\n  pack: ' || pack || '\\n\\n  # inside\\n  phase: ''' || phase || '''\\n"
         "notes: |\\n    ' || " + lines("\\n    ") + " || '\\nversion: ''1.0''\\nlicense: ' || '''Apache ''' || '\\n---\\n\\n# ' || name || '\\nintro\\n## When to use \\n\\n' || array_join(transform(l, (x, i) -> CASE WHEN i % 3 = 2 THEN x WHEN i % 3 = 1 THEN '  * ' || x ELSE '- ' || x END), '\\n')"
-        " || '\\n### deeper\\n## Workflow\\n1. ' || coalesce(l[0], '') || '\\n'"
+        " || '\\n### deeper\\n## Workflow\\n1. ' || coalesce(get(l, 0), '') || '\\n'"
     )
     return on_spark(spark, sf_dir, f"WITH {_parts(True)} SELECT id, name, {text} AS text FROM parts")
 

@@ -6,10 +6,11 @@ import json
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark import tools
+from quillspark import registry, tools
 from quillspark.operators import retries
 from quillspark.operators.closest import closest
 from quillspark.operators.markdown import bullets, first_heading, front_matter, section, sections, use_when
@@ -314,3 +315,35 @@ def test_case_exports(spark, catalogue, tmp_path):
     told = spark.read.text(export_skills(files, str(tmp_path), "skills"), wholetext=True)
     assert {r.pack: r.value for r in told.collect()} == {"web": "<!-- web/a -->\n# A\n<!-- web/b -->\n# B\n", "api": "<!-- api -->\n# C\n"}
     assert spark.read.json(export_skills(files, str(tmp_path), "rows", "json")).count() == 3
+
+
+# skills over tables of one's own
+
+
+def documents(spark, folder, rows):
+    """A folder with these documents (doc_id, text, lang, source), without labels; and DuckDB over it."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    return str(folder), con
+
+
+ODD = [(1, "", "en", "src1"), (2, "###\n!!! \n--", "fr", "src1"), (3, "one line", None, None), (4, "a\n\n** \nb\nc", "en", None), (101, "a worthless license\nfind \"quoted thing\" tion", "en", "src1"), (101, "license License zzzz", "fr", "src1"), (7, "ering src7", "de", "src7"), (8, "the des des of tion", None, None)]
+
+
+@pytest.mark.parametrize("name", ["s3_front_matter", "s3_sections", "s3_suggest"])
+def test_skill_files_of_texts_without_a_plain_line(spark, tmp_path, name):
+    folder, con = documents(spark, tmp_path, [r for i, r in enumerate(ODD) if i != 5])
+    same_rows(registry.queries()[name](spark, folder), con, registry.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", ["s3_search", "s3_search_all"])
+def test_skill_search_of_odd_names_moves_no_texts(spark, tmp_path, name):
+    folder, con = documents(spark, tmp_path, ODD)
+    found = registry.queries()[name](spark, folder)
+    same_rows(found, con, registry.oracle_sql()[name])
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert moved and not any(re.search(r"\b(text|description|descr|body)#", x) for x in moved)
