@@ -159,7 +159,8 @@ def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 150, id_col
         packed = packed.withColumn("before", _sums_before(F.transform("chunks", lambda c: c["paragraphs"])))
     else:
         packed = ready.select(id_col, pack(units(F.col("paras"), size), size, overlap).alias("chunks"))
-    each = packed.select(*[c for c in packed.columns if c != "chunks"], F.posexplode("chunks").alias("idx", "c"))
+    # an inner explode would have Spark ask for the chunks' number first, which cuts every text two more times
+    each = packed.select(*[c for c in packed.columns if c != "chunks"], F.posexplode_outer("chunks").alias("idx", "c")).where("idx is not null")
     text, first = F.col("c.text"), F.get("before", F.col("idx"))
     places = [F.get("places", first)["start"].alias("char_start"), F.get("places", first + F.col("c.paragraphs") - 1)["end"].alias("char_end")]
     return each.select(

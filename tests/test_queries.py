@@ -238,3 +238,10 @@ def test_siblings_of_skill_files(spark, tmp_path):
         (tmp_path / path).write_text("x")
     got = {r.path.rsplit("/", 2)[1]: r.extra_files for r in files.siblings(spark, str(tmp_path)).collect()}
     assert got == {"a": ["deep/y.txt", "x.txt"], "b": []}
+
+
+@pytest.mark.parametrize("name", ["s1_chunks", "s1_chunk_offsets", "s1_chunk_summary"])
+def test_chunks_are_cut_once(spark, name):
+    """No filter asks for the chunks' number before they are exploded, which would cut each text again."""
+    plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan()
+    assert not re.search(r"Filter .*aggregate\(", plan.toString())
