@@ -15,7 +15,7 @@ from quillspark.operators import retries
 from quillspark.operators.closest import closest
 from quillspark.operators.markdown import bullets, first_heading, front_matter, section, sections, use_when
 from quillspark.operators.nested import bug_reports, flatten_text, unwrapped
-from quillspark.plans import toolbox
+from quillspark.plans import skills, toolbox
 from quillspark.sources.adapters import CASES, on_duckdb
 from quillspark.sources.ordered import read_in_order, tail
 from tests.oracle import connect, same_rows
@@ -347,3 +347,13 @@ def test_skill_search_of_odd_names_moves_no_texts(spark, tmp_path, name):
     plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
     assert moved and not any(re.search(r"\b(text|description|descr|body)#", x) for x in moved)
+
+
+def test_related_skills_of_odd_names_meet_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(skills, "ASKED_AT_ONCE", 2)
+    monkeypatch.setattr(skills, "ROWS_AT_ONCE", 7)
+    rows = [(i, " ".join(f"w{(i * j) % 23}" for j in range(i % 9)) + " x" * (i % 300), "en", None if i % 11 == 0 else f"src{i % 3}") for i in range(90, 460, 5)]
+    folder, con = documents(spark, tmp_path, [*ODD, *rows, (500, None, "en", "src1"), (600, " ".join(f"v{i}" for i in range(700)), "en", "src2"), (601, " ".join(f"v{i}" for i in range(699)), "en", "src1")])
+    found = registry.queries()["s3_related"](spark, folder)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    same_rows(found, con, registry.oracle_sql()["s3_related"])
