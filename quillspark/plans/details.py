@@ -22,7 +22,7 @@ def _breakdown(s: bool) -> str:
     else:
         terms, shown = "string_agg(tok, ',' ORDER BY c DESC, tok)", "string_agg(tf::VARCHAR, ',' ORDER BY c DESC, tok)"
     return f"""WITH {retrieval._index(s)}, {retrieval._hits(s)}, asked AS (SELECT item_id, count(*) AS n FROM qt GROUP BY item_id),
-    c AS (SELECT hits.item_id, hits.doc_id, hits.tok, hits.tf, {rounded('w', 4)} AS c FROM hits JOIN kw ON kw.item_id = hits.item_id AND kw.doc_id = hits.doc_id WHERE kw.rnk <= 3)
+    c AS (SELECT {'/*+ BROADCAST(kw) */ ' if s else ''}hits.item_id, hits.doc_id, hits.tok, hits.tf, {rounded('w', 4)} AS c FROM hits JOIN kw ON kw.item_id = hits.item_id AND kw.doc_id = hits.doc_id WHERE kw.rnk <= 3)
     SELECT c.item_id, c.doc_id, {rounded('cast(count(*) AS double) / max(n)', 3)} AS coverage, count(*) AS matched, {terms} AS matched_terms, {shown} AS tfs, {rounded('max(c)', 4)} AS most FROM c JOIN asked ON asked.item_id = c.item_id GROUP BY c.item_id, c.doc_id"""
 
 

@@ -245,3 +245,12 @@ def test_chunks_are_cut_once(spark, name):
     """No filter asks for the chunks' number before they are exploded, which would cut each text again."""
     plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan()
     assert not re.search(r"Filter .*aggregate\(", plan.toString())
+
+
+@pytest.mark.parametrize("name", ["s1_bm25_terms", "s1_bm25_breakdown", "s1_context_pack"])
+def test_what_a_word_adds_is_not_shuffled(spark, name):
+    """Scores are added up where a document's words are: no row of query, document and word, and no text, is moved."""
+    found = registry.queries()[name](spark, SMALL)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: (\w+)", plan)
+    assert moved and not [x for x, how in moved if how == "hashpartitioning" and (re.search(r"item_id#.*tok#|\bw#", x) or "text#" in x)]
