@@ -55,10 +55,13 @@ def slug(value: Column) -> Column:
 def health() -> Column:
     """The state that a row says, else what its code and time say (H-07, H-10)."""
     said = F.upper(F.trim(F.coalesce(pick("status", "healthStatus", "Health Status"), F.lit(""))))
+    return _state(said, number(pick("httpStatus", "HTTP Status", "httpCode")), number(pick("responseTimeMs", "Response Time Ms")))
+
+
+def _state(said: Column, code: Column, ms: Column) -> Column:
     stated = F.lit("UNKNOWN")
     for spelling, state in HEALTH.items():
         stated = F.when(said == spelling, state).otherwise(stated)
-    code, ms = number(pick("httpStatus", "HTTP Status", "httpCode")), number(pick("responseTimeMs", "Response Time Ms"))
     derived = F.when(code >= 400, "DOWN").when(ms > 3000, "SLOW").otherwise("HEALTHY")
     return F.when((stated != "UNKNOWN") | code.isNull(), stated).otherwise(derived)
 
@@ -101,18 +104,27 @@ def services(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def log_entries(rows: DataFrame, *keep: str) -> DataFrame:
-    code, ms = number(pick("httpCode", "httpStatus", "HTTP Status")).cast("int"), number(pick("responseTimeMs", "Response Time Ms"), 0)
+    # fields are taken out of the map once, and states and numbers read once, in selects of their own
+    fields = {
+        "_http": pick("httpCode", "httpStatus", "HTTP Status"), "_stated_http": pick("httpStatus", "HTTP Status", "httpCode"), "_ms": pick("responseTimeMs", "Response Time Ms"),
+        "_said": pick("status", "healthStatus", "Health Status"), "_env": pick("environment", "Environment"), "_attempt": pick("attempt"), "_retries": pick("retryCount", "Retry Count"),
+        "_most": pick("maxAttempts"), "_id": pick("serviceId"), "_name": pick("serviceName", "Service Name"), "_message": pick("message"),
+    }
+    taken = rows.select(*keep, *[c.alias(n) for n, c in fields.items()])
+    numbers = {n: number(F.col(n)) for n in ("_http", "_stated_http", "_ms", "_attempt", "_retries", "_most")}
+    read = taken.withColumns(numbers | {"_said": F.upper(F.trim(F.coalesce("_said", F.lit("")))), "_env": F.upper(F.trim("_env"))})
+    code, ms = F.col("_http").cast("int"), F.coalesce("_ms", F.lit(0.0))
     told = F.when(code.isNull(), "No response recorded").otherwise(F.concat(F.lit("HTTP "), code.cast("string"), F.lit(" in "), ms.cast("long").cast("string"), F.lit(" ms")))
-    return rows.select(
+    return read.select(
         *keep,
-        F.coalesce(text(pick("serviceId")), slug(text(pick("serviceName", "Service Name"), "Unknown Service"))).alias("service_id"),
-        _environment().alias("environment"),
-        _attempt("attempt").alias("attempt"),
-        number(pick("maxAttempts"), 3).cast("int").alias("max_attempts"),
-        health().alias("status"),
+        F.coalesce(text(F.col("_id")), slug(text(F.col("_name"), "Unknown Service"))).alias("service_id"),
+        one_of(F.col("_env"), ENVIRONMENTS).alias("environment"),
+        F.coalesce(F.nullif("_attempt", F.lit(0.0)), F.coalesce("_retries", F.lit(0.0)) + 1).cast("int").alias("attempt"),
+        F.coalesce("_most", F.lit(3.0)).cast("int").alias("max_attempts"),
+        _state(F.col("_said"), F.col("_stated_http"), F.col("_ms")).alias("status"),
         code.alias("http_code"),
         ms.alias("response_ms"),
-        F.coalesce(text(pick("message")), told).alias("message"),
+        F.coalesce(text(F.col("_message")), told).alias("message"),
     )
 
 

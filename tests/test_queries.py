@@ -254,3 +254,8 @@ def test_what_a_word_adds_is_not_shuffled(spark, name):
     plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: (\w+)", plan)
     assert moved and not [x for x, how in moved if how == "hashpartitioning" and (re.search(r"item_id#.*tok#|\bw#", x) or "text#" in x)]
+
+
+def test_log_fields_are_taken_out_of_the_row_once(spark):
+    plan = registry.queries()["s4_entity_logs"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("element_at(row") < 80
