@@ -52,13 +52,8 @@ def slug(value: Column) -> Column:
     return F.concat(F.lit("svc-"), F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
 
 
-def health() -> Column:
-    """The state that a row says, else what its code and time say (H-07, H-10)."""
-    said = F.upper(F.trim(F.coalesce(pick("status", "healthStatus", "Health Status"), F.lit(""))))
-    return _state(said, number(pick("httpStatus", "HTTP Status", "httpCode")), number(pick("responseTimeMs", "Response Time Ms")))
-
-
 def _state(said: Column, code: Column, ms: Column) -> Column:
+    """The state that a row says, else what its code and time say (H-07, H-10)."""
     stated = F.lit("UNKNOWN")
     for spelling, state in HEALTH.items():
         stated = F.when(said == spelling, state).otherwise(stated)
@@ -66,41 +61,37 @@ def _state(said: Column, code: Column, ms: Column) -> Column:
     return F.when((stated != "UNKNOWN") | code.isNull(), stated).otherwise(derived)
 
 
-def _attempt(own: str) -> Column:
-    """The attempt that a row tells, else one more than its retries."""
-    return F.coalesce(F.nullif(number(pick(own)), F.lit(0.0)), number(pick("retryCount", "Retry Count"), 0) + 1).cast("int")
-
-
-def _name() -> Column:
-    return text(pick("name", "serviceName", "Service Name"), "Unknown Service")
-
-
-def _environment() -> Column:
-    return one_of(pick("environment", "Environment"), ENVIRONMENTS)
-
-
 def services(rows: DataFrame, *keep: str) -> DataFrame:
-    policy = F.from_json(pick("retryPolicy"), "struct<maxAttempts:string,delaysSeconds:array<string>>")
-    delays = F.filter(F.transform(policy["delaysSeconds"], lambda d: number(d, 0)), lambda d: d > 0)
-    name, environment = _name(), _environment()
-    return rows.select(
+    # as in log_entries: each field is taken out of the map once, and read once
+    fields = {
+        "_http": pick("httpStatus", "HTTP Status", "httpCode"), "_ms": pick("responseTimeMs", "Response Time Ms"), "_said": pick("status", "healthStatus", "Health Status"),
+        "_env": pick("environment", "Environment"), "_check": pick("checkType", "Check Type"), "_method": pick("httpMethod", "method"), "_expected": pick("expectedStatus"),
+        "_threshold": pick("responseTimeThresholdMs", "Response Time Threshold Ms"), "_critical": pick("critical", "Critical"), "_attempts": pick("attempts"), "_retries": pick("retryCount", "Retry Count"),
+        "_id": pick("id"), "_name": pick("name", "serviceName", "Service Name"), "_policy": F.from_json(pick("retryPolicy"), "struct<maxAttempts:string,delaysSeconds:array<string>>"),
+    }
+    taken = rows.select(*keep, *[c.alias(n) for n, c in fields.items()])
+    numbers = {n: number(F.col(n)) for n in ("_http", "_ms", "_expected", "_threshold", "_attempts", "_retries")}
+    states = {n: F.upper(F.trim(n)) for n in ("_env", "_check", "_method")} | {"_said": F.upper(F.trim(F.coalesce("_said", F.lit(""))))}
+    read = taken.withColumns(numbers | states | {"_id": text(F.col("_id")), "_name": text(F.col("_name"), "Unknown Service")})
+    read = read.withColumn("_env", one_of(F.col("_env"), ENVIRONMENTS))
+    delays = F.filter(F.transform(F.col("_policy")["delaysSeconds"], lambda d: number(d, 0)), lambda d: d > 0)
+    return read.select(
         *keep,
-        text(pick("id"), None).alias("given_id"),
-        F.coalesce(text(pick("id")), slug(F.concat_ws("-", environment, name))).alias("id"),
-        name.alias("name"),
-        environment.alias("environment"),
-        one_of(pick("checkType", "Check Type"), CHECK_TYPES).alias("check_type"),
-        one_of(pick("httpMethod", "method"), METHODS).alias("method"),
-        number(pick("expectedStatus"), 200).cast("int").alias("expected_status"),
-        number(pick("responseTimeThresholdMs", "Response Time Threshold Ms"), 3000).alias("threshold_ms"),
-        flag(pick("critical", "Critical")).alias("critical"),
-        number(policy["maxAttempts"], 3).cast("int").alias("max_attempts"),
+        F.coalesce("_id", slug(F.concat_ws("-", "_env", "_name"))).alias("id"),
+        F.col("_name").alias("name"),
+        F.col("_env").alias("environment"),
+        one_of(F.col("_check"), CHECK_TYPES).alias("check_type"),
+        one_of(F.col("_method"), METHODS).alias("method"),
+        F.coalesce("_expected", F.lit(200.0)).cast("int").alias("expected_status"),
+        F.coalesce("_threshold", F.lit(3000.0)).alias("threshold_ms"),
+        flag(F.col("_critical")).alias("critical"),
+        number(F.col("_policy")["maxAttempts"], 3).cast("int").alias("max_attempts"),
         F.coalesce(delays, F.array(F.lit(20.0), F.lit(30.0))).alias("delays"),
-        health().alias("status"),
-        number(pick("httpStatus", "HTTP Status", "httpCode")).cast("int").alias("http_status"),
-        number(pick("responseTimeMs", "Response Time Ms"), 0).alias("response_ms"),
-        _attempt("attempts").alias("attempts"),
-    ).drop("given_id")
+        _state(F.col("_said"), F.col("_http"), F.col("_ms")).alias("status"),
+        F.col("_http").cast("int").alias("http_status"),
+        F.coalesce("_ms", F.lit(0.0)).alias("response_ms"),
+        F.coalesce(F.nullif("_attempts", F.lit(0.0)), F.coalesce("_retries", F.lit(0.0)) + 1).cast("int").alias("attempts"),
+    )
 
 
 def log_entries(rows: DataFrame, *keep: str) -> DataFrame:

@@ -281,3 +281,9 @@ def test_word_counts_equal_plain_ones(spark, frequent):
         total = df if given is rows else Counter(w for _, w in wanted)
         found = with_totals(written(counted_rows(spark.createDataFrame(given, "k long, t array<string>"), "k", "t")), frequent)
         assert Counter((r.k, r.tok, r.tf, r.df) for r in found.collect()) == Counter((k, w, n, total[w]) for (k, w), n in wanted.items())
+
+
+@pytest.mark.parametrize("name", ["s4_entity_services", "s4_entity_summary"])
+def test_service_fields_are_taken_out_of_the_row_once(spark, name):
+    plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("element_at(row") < 80
