@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import re
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark import registry, tools
 from quillspark.operators import retries
-from quillspark.operators.closest import closest
+from quillspark.operators.closest import _met_by_remains, closest
 from quillspark.operators.markdown import bullets, first_heading, front_matter, section, sections, use_when
 from quillspark.operators.nested import bug_reports, flatten_text, unwrapped
 from quillspark.plans import skills, toolbox
@@ -185,6 +186,24 @@ def test_closest_names_equal_all_pairs(spark, edits):
     assert {tuple(r) for r in got} == wanted
 
 
+@pytest.mark.parametrize("longest", [0, 4, 7])
+def test_closest_names_on_both_sides_of_the_longest(spark, longest):
+    rng = random.Random(longest)
+    names, asked = ({"".join(rng.choice("abé") for _ in range(rng.randrange(0, 11))) for _ in range(n)} for n in (300, 60))
+    got = closest(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(a,) for a in asked], "asked string"), longest=longest).collect()
+    near = lambda a: sorted((edit_distance(a, n), n) for n in names)[:5]
+    assert {tuple(r) for r in got} == {(a, n, d, k + 1) for a in asked for k, (d, n) in enumerate(near(a)) if d <= 2}
+
+
+def test_names_that_meet_do_not_grow_with_the_names(spark):
+    """Names far from each other: one that is asked for meets its own name only, however many others there are."""
+    names = [hashlib.md5(str(i).encode()).hexdigest()[:16] for i in range(4000)]
+    asked = spark.createDataFrame([(n[0] + "x" + n[1:-1],) for n in names[:40]], "name string")
+    for n in (1000, 4000):
+        met = _met_by_remains(spark.createDataFrame([(x,) for x in names[:n]], "name string"), asked, 2).distinct().collect()
+        assert {(r.asked, r.name) for r in met} == {(x[0] + "x" + x[1:-1], x) for x in names[:40]}
+
+
 # retry policies
 
 
