@@ -159,6 +159,9 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, pieces: int | None = No
     links in proportion to their size. Then an equality join compares members of a bucket whose components still
     differ; a variant that leaves a bit out meets only such as have the other bit there, so a pair is compared once
     for each block. All pairs within `distance` bits are thereby linked, without listing the pairs of a group.
+
+    The sides of that join are asked to be shuffled: Spark sizes them by the file below, not by the variants exploded
+    out of it, and would broadcast them.
     """
     if pieces is None:
         count = fps.count()
@@ -174,7 +177,7 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, pieces: int | None = No
     index = index.withColumn("bit", F.expr("(fp & shiftleft(1L, greatest(wild, 0))) <> 0"))
     left = index.where("wild < 0 or not bit").select(*bucket, F.col("fp").alias("a"), F.col("component").alias("ca"))
     right = index.where("wild < 0 or bit").select(*bucket, F.col("fp").alias("b"), F.col("component").alias("cb"))
-    met = left.join(right, (left.block == right.block) & (left.wild == right.wild) & (left.rest == right.rest) & (F.col("ca") != F.col("cb")) & ((left.wild >= 0) | (F.col("a") < F.col("b"))) & _near(F.col("a"), F.col("b"), distance))
+    met = left.hint("merge").join(right, (left.block == right.block) & (left.wild == right.wild) & (left.rest == right.rest) & (F.col("ca") != F.col("cb")) & ((left.wild >= 0) | (F.col("a") < F.col("b"))) & _near(F.col("a"), F.col("b"), distance))
     more = met.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     merged = connected_components(near.unionByName(more))
     return merged.select(F.col("node").alias("fp"), "component")
@@ -290,7 +293,7 @@ def link_wide(fps: DataFrame, docs: DataFrame, text_col: str = "text", distance:
     index = index.select("fp", "c", "wild", key.alias("key"), F.expr("(seg & shiftleft(1L, greatest(wild, 0))) <> 0").alias("bit"))
     left = index.where("wild < 0 or not bit").select("key", F.col("fp").alias("a"), F.col("c").alias("ca"))
     right = index.where("wild < 0 or bit").select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb"))).select("a", "b", "ca", "cb")
+    met = left.hint("merge").join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb"))).select("a", "b", "ca", "cb")
     met = _wide_near(met, fps, distance).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     merged = connected_components(near.unionByName(_verified(materialize(met), docs, texts, text_col, width)))
     return merged.select(F.col("node").alias("fp"), "component")

@@ -81,6 +81,19 @@ def test_simhash_links_every_near_fingerprint(spark):
             assert (own[x] == own[y]) == (x == y or group.get(x, x) == group.get(y, y))
 
 
+def test_signature_variants_are_not_broadcast(spark, monkeypatch):
+    """Variants exploded out of a small file are many times its size, which Spark does not see."""
+    plans, real, writes = [], simhash.connected_components, simhash.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "connected_components", lambda links, **kw: plans.append(plan(links)) or real(links, **kw))
+    monkeypatch.setattr(simhash, "materialize", lambda df: plans.append(plan(df)) or writes(df))
+    simhash.link_fingerprints(writes(spark.range(300).select(F.xxhash64("id").alias("fp"))), pieces=3)
+    texts = writes(spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f g h "), F.col("id")).alias("text")))
+    simhash.similar_documents(texts)
+    met = [line for p in plans for line in p.splitlines() if re.search(r"Join .*NOT \(ca#", line)]
+    assert len(met) >= 2 and all("SortMergeJoin" in x for x in met)
+
+
 def brute_similar(texts: dict) -> dict:
     """Smallest id reachable over pairs of a Jaccard similarity of 0.8, near by bits, with an anchor and its segment but for one bit in common."""
     sets = {}
