@@ -8,6 +8,8 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,3 +378,35 @@ def test_related_skills_of_odd_names_meet_in_blocks(spark, tmp_path, monkeypatch
     found = registry.queries()["s3_related"](spark, folder)
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     same_rows(found, con, registry.oracle_sql()["s3_related"])
+
+
+def test_related_skills_cut_texts_once_and_give_out_the_nearest_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(skills, "ASKED_AT_ONCE", 2)
+    rows = [(i, " ".join(f"{'xyz'[i % 3]}{(i * j) % 37}" for j in range(20)) + " caf\u00e9 \u212a c++ c#", "en", f"src{i % 2}") for i in range(1000, 1900)]
+    folder, con = documents(spark, tmp_path, rows)
+    found = registry.queries()["s3_related"](spark, folder)
+    assert "documents.parquet" not in found._jdf.queryExecution().executedPlan().toString()
+    same_rows(found, con, registry.oracle_sql()["s3_related"])
+
+    ids = lambda *words: pa.array([np.array(w, np.int32).tobytes() for w in words], pa.binary())
+    sent = pa.table({"name": ["a", "b"], "pack": ["p", None], "n": pa.array([2, 3], pa.int32()), "ids": ids([0, 1], [1, 2, 3])})
+    names = [f"n{i:04}" for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(["p", "q"] * 1500), pa.array([2] * 3000, pa.int32()), ids(*[[1, i % 4] if i % 4 != 1 else [1] for i in range(3000)])], names=["name", "pack", "n", "ids"])
+    (got,) = skills._nearest(type("Sent", (), {"value": sent}), 4)(iter([batch] * 2))
+    exact = {"a": [(1500000, "n%04d" % i) for i in range(0, 3000, 4)], "b": [(666667, "n%04d" % i) for i in range(3000) if i % 4 > 1]}
+    for own in "ab":
+        best = sorted(sorted(exact[own] * 2, key=lambda x: (-x[0], x[1]))[:8])
+        assert sorted((round(r["score"] * 1e6), r["other"]) for r in got.to_pylist() if r["name"] == own) == best
+
+
+def test_words_of_texts_cut_in_slices(monkeypatch):
+    monkeypatch.setattr(skills, "TEXT_BYTES", 9)
+    texts = ["ab", "", "cd e", None, "--", "\u00e9f\u00e9g", "a+ #1", "", "long words in one text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"]).slice(1)
+    got = [[] for _ in range(batch.num_rows)]
+    begun = 0
+    for part, held, row in skills._cut(batch, 0):
+        for word, i in zip(held.to_pylist(), row.tolist(), strict=True):
+            got[begun + i].append(word)
+        begun += part.num_rows
+    assert begun == batch.num_rows and got == [[w for w in re.split(skills.WORDS, t or "") if w] for t in texts[1:]]
