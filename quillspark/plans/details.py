@@ -33,9 +33,8 @@ def _hybrid_all(spark, sf_dir):
     unmet = written(items.join(keyword.select("item_id").distinct(), "item_id", "left_anti"))
     docs = table(spark, sf_dir, "documents").select("doc_id")
     every = in_blocks(unmet, F.lit(16), lambda block: docs.join(block, F.lit(True)).select("item_id", "doc_id", F.lit(0.0).alias("score")))
-    scores = retrieval.similarities(spark, sf_dir).withColumn("item_id", F.when(F.col("item_id") == 0, -1).otherwise(F.col("item_id")))
-    vector = written(scores.join(docs, "doc_id", "left_semi"))
-    return fused_top(keyword.unionByName(every), vector, 10)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(docs, F.col("vec_id") == F.col("doc_id"), "left_semi")
+    return fused_top(keyword.unionByName(every), retrieval.Vectors(spark, sf_dir, written(vectors), first=-1), 10)
 
 
 def _search_all(s: bool) -> str:

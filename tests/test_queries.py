@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from quillspark import registry
 from quillspark.operators import chunking, ranking
 from quillspark.operators.chunking import chunk_documents, clean_glyphs, normalise_space, pack, reflow
 from quillspark.operators.wordcounts import counted_rows, with_totals
+from quillspark.plans import retrieval
 from quillspark.sources import files
 from quillspark.sources.scratch import written
 from tests.oracle import connect, same_rows
@@ -69,6 +71,27 @@ def test_fusion_of_heads_equals_fusion_of_all(lists, k):
     assert {(r.item_id, r.doc_id, r.rnk) for r in ranking.fused_top(*lists, k).collect()} == wanted
 
 
+@pytest.mark.parametrize("name", ["s1_hybrid_all", "s1_hybrid", "s1_rrf", "s1_three_modes"])
+def test_fusion_writes_no_list_of_all_vectors(spark, tmp_path, monkeypatch, name):
+    """Heads and counts are enough; vectors with many ties, a text without a hit, documents without a vector and the reverse."""
+    rng, words = random.Random(4), [f"w{i}" for i in range(40)]
+    tables = {
+        "documents": ([(d, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for d in range(150, 600)], "doc_id long, text string"),
+        "benchmark": ([(i, " ".join(rng.sample(words, 3))) for i in range(4)] + [(4, "nowhere"), (50, "w1 w2")], "item_id long, text string"),
+        "embeddings": ([(v, [float(rng.randint(0, 1)) for _ in range(4)]) for v in range(700)], "vec_id long, embedding array<float>"),
+    }
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    for table in tables:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    asked, real = [], retrieval.similarities
+    monkeypatch.setattr(retrieval, "similarities", lambda spark, sf_dir, k=None, *more: asked.append(k) or real(spark, sf_dir, k, *more))
+    monkeypatch.setattr(ranking, "ITEMS_AT_ONCE", 2)
+    same_rows(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name])
+    assert asked and None not in asked
+
+
 def test_sorted_ranks_of_hot_groups(spark):
     rows = [(None if i % 3 == 0 else "abc"[i % 2], i * 7919 % 1000, i) for i in range(1500)]
     df = spark.createDataFrame(rows, "g string, x long, id long")
