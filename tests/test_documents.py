@@ -399,6 +399,22 @@ def test_related_skills_cut_texts_once_and_give_out_the_nearest_only(spark, tmp_
         assert sorted((round(r["score"] * 1e6), r["other"]) for r in got.to_pylist() if r["name"] == own) == best
 
 
+def test_related_skills_with_several_labels_move_no_texts(spark, tmp_path, monkeypatch):
+    folder, con = documents(spark, tmp_path, [(i, " ".join(f"w{(i * j) % 37}" for j in range(20)), "en", f"src{i % 2}") for i in range(80, 300)])
+    labels = [(i, i % 2, 0) for i in range(5000)] + [(100, 1, 1), (101, 0, 0), (101, 1, 0), (None, 1, 1), (None, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    plans, real = [], skills.written
+    monkeypatch.setattr(skills, "written", lambda df: plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")) or real(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        same_rows(registry.queries()["s3_related"](spark, folder), con, registry.oracle_sql()["s3_related"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", "".join(plans))
+    assert moved and not any(re.search(r"\b(text|description|t)#", x) for x in moved)
+
+
 def test_words_of_texts_cut_in_slices(monkeypatch):
     monkeypatch.setattr(skills, "TEXT_BYTES", 9)
     texts = ["ab", "", "cd e", None, "--", "\u00e9f\u00e9g", "a+ #1", "", "long words in one text"]
